@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm import quality, toxicity
 from quern.llm.bpe import round_trip
 from quern.llm.exact_dedup import exact_dedup
+from quern.llm.packing import pack_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +41,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op5_byte_bpe, op10_quality)}
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file=public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op5_byte_bpe, op7_best_fit_packing, op10_quality)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
