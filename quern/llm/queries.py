@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import quality, toxicity
+from quern.llm import quality, toxicity, warc
 from quern.llm.bpe import round_trip
+from quern.llm.common import shared_folder
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.packing import pack_documents
 
@@ -45,7 +47,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file=public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op5_byte_bpe, op7_best_fit_packing, op10_quality)}
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, with repeated payloads as revisits, are written to the shared folder and read back."""
+    archives = shared_folder(spark)
+    records = warc.responses(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    warc.write_archives(warc.resolve_revisits(records), archives)
+    back = warc.read_archives(spark, archives, with_payload=False)
+    return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op5_byte_bpe, op7_best_fit_packing, op8_warc_revisits, op10_quality)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -57,4 +68,13 @@ ORACLE_SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op8_warc_revisits": """
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN original END AS refers_to
+        FROM (SELECT *, payload_bytes >= 1000 AND page_id < original AS again
+              FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                           max(page_id) OVER (PARTITION BY coalesce(html, '')) AS original
+                    FROM pages))
+    """,
 }
