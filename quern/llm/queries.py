@@ -10,6 +10,7 @@ from quern.llm import quality, toxicity, warc
 from quern.llm.bpe import round_trip
 from quern.llm.common import shared_folder
 from quern.llm.exact_dedup import exact_dedup
+from quern.llm.jaccard import jaccard_components
 from quern.llm.packing import pack_documents
 
 
@@ -43,6 +44,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file=public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,7 +61,7 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op5_byte_bpe, op7_best_fit_packing, op8_warc_revisits, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op5_byte_bpe, op6_jaccard_join, op7_best_fit_packing, op8_warc_revisits, op10_quality)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
