@@ -11,7 +11,9 @@ from quern.llm.bpe import round_trip
 from quern.llm.common import shared_folder
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.jaccard import jaccard_components
+from quern.llm.knn import top_k
 from quern.llm.packing import pack_documents
+from quern.llm.token_counts import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(
         table(spark, sf_dir, "documents"),
@@ -61,7 +67,24 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op5_byte_bpe, op6_jaccard_join, op7_best_fit_packing, op8_warc_revisits, op10_quality)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), rank_file=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_toxicity,
+        op4_voronoi_top_k,
+        op5_byte_bpe,
+        op6_jaccard_join,
+        op7_best_fit_packing,
+        op8_warc_revisits,
+        op9_token_counts,
+        op10_quality,
+    )
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -73,6 +96,20 @@ ORACLE_SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op4_voronoi_top_k": """
+        WITH usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        WHERE rank <= 5
+    """,
     "op8_warc_revisits": """
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
