@@ -13,6 +13,7 @@ from quern.llm.exact_dedup import exact_dedup
 from quern.llm.jaccard import jaccard_components
 from quern.llm.knn import top_k
 from quern.llm.packing import pack_documents
+from quern.llm.quotes import link_conversations
 from quern.llm.token_counts import token_counts
 
 
@@ -36,6 +37,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -76,6 +81,7 @@ QUERIES = {
     for f in (
         op1_exact_dedup,
         op2_toxicity,
+        op3_quotation_linking,
         op4_voronoi_top_k,
         op5_byte_bpe,
         op6_jaccard_join,
@@ -96,6 +102,59 @@ ORACLE_SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op3_quotation_linking": r"""
+        WITH RECURSIVE raw AS (
+            SELECT conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS parts,
+                   row_number() OVER () AS m
+            FROM conversations
+        ), numbered AS (
+            SELECT conv_id, turn, m, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM raw
+        ), levelled AS (
+            SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*(>[ \t]*)+', 0), '[^>]', '', 'g')) AS level,
+                   trim(regexp_replace(regexp_replace(line, '^[ \t]*(>[ \t]*)+', ''), '[ \t]+', ' ', 'g'), ' ') AS content
+            FROM numbered
+        ), followed AS (
+            SELECT *, lead(level) OVER (PARTITION BY m ORDER BY i) AS next_level FROM levelled
+        ), lines AS (
+            SELECT conv_id, turn, m, i, line, level, content, lag(level) OVER w AS last_level, lag(content) OVER w AS last_content
+            FROM followed
+            WHERE NOT (level = 0 AND coalesce(next_level, -1) > 0 AND regexp_matches(line, '(?i)\bwrote:[ \t]*$'))
+            WINDOW w AS (PARTITION BY m ORDER BY i)
+        ), runs AS (
+            SELECT conv_id, turn, m, level, lower(string_agg(content, ' ' ORDER BY i)) AS text
+            FROM (SELECT *, sum(CASE WHEN coalesce(last_content, '') = '' OR last_level <> level THEN 1 ELSE 0 END) OVER (PARTITION BY m ORDER BY i) AS run FROM lines)
+            WHERE content <> ''
+            GROUP BY conv_id, turn, m, level, run
+        ), said AS (
+            SELECT conv_id, turn, md5(lower(content)) AS hash FROM lines WHERE level = 0 AND content <> ''
+            UNION SELECT conv_id, turn, md5(text) FROM runs WHERE level = 0
+            UNION SELECT conv_id, turn, md5(lower(string_agg(content, ' ' ORDER BY i))) FROM lines WHERE level = 0 AND content <> '' GROUP BY conv_id, turn, m
+        ), quoted AS (
+            SELECT r.conv_id, r.turn, r.level, (SELECT max(s.turn) FROM said s WHERE s.conv_id = r.conv_id AND s.turn < r.turn AND s.hash = md5(r.text)) AS source
+            FROM runs r WHERE r.level > 0
+        ), counted AS (
+            SELECT conv_id, turn, count(*) AS n_quoted, count(source) AS n_linked FROM quoted GROUP BY ALL
+        ), chosen AS (
+            SELECT conv_id, turn, source AS reply_to
+            FROM (SELECT conv_id, turn, source, row_number() OVER (PARTITION BY conv_id, turn ORDER BY count(*) DESC, source DESC) AS r
+                  FROM quoted WHERE level = 1 AND source IS NOT NULL GROUP BY conv_id, turn, source)
+            WHERE r = 1
+        ), paths AS (
+            SELECT conv_id, turn, reply_to AS thread FROM chosen
+            UNION SELECT p.conv_id, p.turn, c.reply_to FROM paths p JOIN chosen c ON c.conv_id = p.conv_id AND c.turn = p.thread
+        ), roots AS (
+            SELECT conv_id, turn, min(thread) AS thread FROM paths GROUP BY ALL
+        ), spoken AS (
+            SELECT m, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s*\n|\s+$', '', 'g') AS text FROM lines WHERE level = 0 GROUP BY m
+        )
+        SELECT r.conv_id, r.turn, r.role, coalesce(t.thread, r.turn) AS thread, c.reply_to,
+               coalesce(n.n_quoted, 0) AS n_quoted, coalesce(n.n_linked, 0) AS n_linked, coalesce(s.text, '') AS text
+        FROM raw r
+        LEFT JOIN chosen c ON c.conv_id = r.conv_id AND c.turn = r.turn
+        LEFT JOIN counted n ON n.conv_id = r.conv_id AND n.turn = r.turn
+        LEFT JOIN roots t ON t.conv_id = r.conv_id AND t.turn = r.turn
+        LEFT JOIN spoken s ON s.m = r.m
+    """,
     "op4_voronoi_top_k": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
