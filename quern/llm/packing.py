@@ -119,16 +119,14 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         encoder, end = PackedEncoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
         for frame in frames:
             rows = []
-            for a in range(0, len(frame), 256):
-                part = frame.iloc[a : a + 256]
-                for key, packed in zip(part["id"], encoder([t or "" for t in part["text"]]), strict=True):
-                    packed += end
-                    n, start = len(packed) // 4, 0
-                    stop = n % capacity or capacity
-                    for piece in range(-(-n // capacity)):
-                        ids = packed[4 * start : 4 * min(stop, n)]
-                        rows.append((key, piece, start, len(ids) // 4, zlib.crc32(ids), *([ids] if with_ids else [])))
-                        start, stop = stop, stop + capacity
+            for key, text in zip(frame["id"], frame["text"], strict=True):
+                packed = encoder(text or "") + end
+                n, start = len(packed) // 4, 0
+                stop = n % capacity or capacity
+                for piece in range(-(-n // capacity)):
+                    ids = packed[4 * start : 4 * stop]
+                    rows.append((key, piece, start, len(ids) // 4, zlib.crc32(ids), *([ids] if with_ids else [])))
+                    start, stop = stop, stop + capacity
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     key_type = docs.schema[id_col].dataType.simpleString()

@@ -14,14 +14,24 @@ import regex
 from tokenizers import Tokenizer
 
 #: Parts a worker keeps; the table is emptied when full.
-KEPT_PARTS = 500_000
-#: Bytes from which a part is not kept.
-KEPT_BYTES = 200
+KEPT_PARTS = 1_000_000
+#: Characters from which a part is not kept.
+KEPT_CHARS = 100
+#: Fixed value: how byte-level files split a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_MATCH = regex.compile(PATTERN)
 _SAFE = regex.compile(r"(?<=\S) (?=\S)")
 #: The characters that ``\s`` stands for, apart from the space itself.
 _OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c != " " and regex.match(r"\s", c))
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The character by which byte-level files write each byte: itself if it prints, else one counted on from U+0100."""
+    plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 @functools.cache
 def tokenizer(path: str) -> Tokenizer:
     """One per Python worker. Strings of special tokens in a text are ordinary text."""
@@ -31,35 +41,51 @@ def tokenizer(path: str) -> Tokenizer:
     return loaded
 
 
-class PackedEncoder:
-    """Ids as bytes, four to an id, little-endian. Only for files whose splitting is byte-level and without a normaliser."""
+class _Parts(dict):
+    """Packed ids of each part that follows a space, by the part; worked out when first asked for."""
 
     def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
-        self.kept: dict[str, bytes] = {}
+        self.model = tokenizer(path).model
+        self.alphabet = byte_alphabet()
+        self.of_match = functools.lru_cache(maxsize=100_000)(self._encode)
+
+    def _encode(self, match: str) -> bytes:
+        tokens = self.model.tokenize(match.encode().decode("latin-1").translate(self.alphabet))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
+
+    def of_text(self, text: str) -> bytes:
+        matches = _MATCH.findall(text)
+        return b"".join([self[m[1:]] if m[0] == " " and m[1:].isalpha() else self.of_match(m) for m in matches])
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self._encode(f" {part}") if part.isalpha() else self.of_text(f" {part}")
+        if len(part) < KEPT_CHARS:
+            if len(self) >= KEPT_PARTS:
+                self.clear()
+            self[part] = ids
+        return ids
+
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+@functools.cache
+def _parts(path: str) -> _Parts:
+    """One per Python worker."""
+    return _Parts(path)
+
+
+class PackedEncoder:
+    """Ids of a text as bytes, four to an id, little-endian. Only for files whose splitting is byte-level and without a normaliser."""
+
+    def __init__(self, path: str):
+        self.after_space = _parts(path)
 
     @staticmethod
-    def parts(text: str) -> list[str]:
-        """The text cut before every space that stands alone between other characters."""
+    def split(text: str) -> list[str]:
+        """What is before and between the spaces that stand alone between characters other than white space."""
         pieces = text.split(" ")
-        whole = all(pieces) and not any(f"{c} " in text or f" {c}" in text for c in _OTHER_SPACE if c in text)
-        if whole:
-            return [pieces[0], *(" " + p for p in pieces[1:])]
-        cuts = [m.start() for m in _SAFE.finditer(text)]
-        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.parts(t) for t in texts]
-        if len(self.kept) >= KEPT_PARTS:
-            self.kept.clear()
-        kept = self.kept
-        missing = list({p for parts in split for p in parts if p not in kept})
-        long = {p for p in missing if len(p) > KEPT_BYTES}
-        kept.update(zip(missing, self._encode(missing), strict=True))
-        packed = [b"".join([kept[p] for p in parts]) for parts in split]
-        for p in long:
-            del kept[p]
-        return packed
+        if all(pieces) and not any(c in text and (f"{c} " in text or f" {c}" in text) for c in _OTHER_SPACE):
+            return pieces
+        return _SAFE.split(text)
+
+    def __call__(self, text: str) -> bytes:
+        first, *others = self.split(text)
+        return self.after_space.of_text(first) + b"".join(map(self.after_space.__getitem__, others))
