@@ -140,7 +140,7 @@ ORACLE_SQL = {
     "user_sessions": """
         SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n
         FROM (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS session
-              FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS starts FROM events))
+              FROM (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS starts FROM events))
         GROUP BY user_id, session
     """,
     "top_events": """
@@ -155,7 +155,7 @@ ORACLE_SQL = {
     "streamed_sessions": """
         SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n
         FROM (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS session
-              FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS starts FROM events))
+              FROM (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS starts FROM events))
         GROUP BY user_id, session
         HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
     """,
