@@ -76,7 +76,7 @@ def decode_documents(encoded: DataFrame, id_col: str, *, rank_file: str, pattern
 
     @pandas_udf("binary")
     def raw(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: encoding(rank_file, pattern).decode_bytes(x.tolist()))
+        return ids.map(lambda x: encoding(rank_file, pattern).decode_bytes([int(i) for i in x]))
 
     return encoded.select(id_col, raw("ids").alias("bytes"))
 

@@ -200,6 +200,8 @@ def _prefix_rows(docs: DataFrame, least: int, percent: int) -> DataFrame:
             for a in range(0, len(frame), 1000):
                 part = frame.iloc[a : a + 1000]
                 sets = [(i, s) for i, t in zip(part["id"], part["text"], strict=True) if len(s := shingle(t)) >= least]
+                if not sets:
+                    continue
                 yield pd.DataFrame(
                     {
                         "id": np.array([i for i, _ in sets], np.int64),
@@ -291,7 +293,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = links.unionByName(_small_edges(small, percent))
     groups = components(links)
     remove_written(meetings, volume, blocks)
-    first = F.coalesce(F.col("first"), F.col("id"))
+    first = F.when(F.col("id").isNotNull(), F.coalesce(F.col("first"), F.col("id")))
     by_first = folded.select(F.col("id").alias("__id"), F.col("n").alias("n_shingles"), first.alias("id"))
     return by_first.join(sized(groups, groups.count()), "id", "left").select(
         F.col("__id").alias(id_col), "n_shingles", F.coalesce("component", F.col("id")).alias("component_id")

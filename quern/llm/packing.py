@@ -22,8 +22,8 @@ from quern.llm.common import sized, written
 from quern.llm.tokenize import PackedEncoder
 
 CAPACITY = 2048
-#: Rows among which ranks are counted one by one.
-RANKED_TOGETHER = 50_000
+#: Rows of one length among which ranks are counted one by one.
+RANKED_TOGETHER = 10_000
 
 _PLAN_SCHEMA = "length int, from_rank long, to_rank long, first_sequence long, per_sequence int, offset int"
 
@@ -136,20 +136,23 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumn("id", F.col("id").cast(key_type)).withColumnRenamed("id", id_col)
 
 
-def ranked(pieces: DataFrame, rows: int, keys: list[str]) -> DataFrame:
+def ranked(pieces: DataFrame, counts: Mapping[int, int], keys: list[str]) -> DataFrame:
     """``pieces`` with ``rank``: 0, 1, 2... within each length, in no particular order.
 
-    Pieces are dealt by hash into shares of about ``RANKED_TOGETHER`` rows. Ranks are counted within a share and
-    length and shifted by the counts of the shares before, so a length that most pieces have is no single group.
+    The pieces of a length are dealt by hash into shares of about ``RANKED_TOGETHER`` rows. Ranks are counted within a
+    share and shifted by the counts of the shares before, so a length that most pieces have is no single group.
+    ``counts`` has at most one entry for each length up to the capacity.
     """
-    shares = max(1, -(-rows // RANKED_TOGETHER))
-    dealt = pieces.withColumn("__share", F.pmod(F.xxhash64(*keys), F.lit(shares)).cast("int"))
-    counts = dealt.groupBy("length", "__share").agg(F.count("*").alias("__n"))
+    spark = pieces.sparkSession
+    shares = spark.createDataFrame([(n, -(-k // RANKED_TOGETHER)) for n, k in counts.items()], "length long, __shares long")
+    dealt = pieces.join(F.broadcast(shares), "length").withColumn("__share", F.pmod(F.xxhash64(*keys), F.col("__shares"))).drop("__shares")
+    sizes = dealt.groupBy("length", "__share").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__share").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("length", "__share", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    shifts = sizes.select("length", "__share", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
     within = Window.partitionBy("length", "__share").orderBy(*keys)
     numbered = dealt.withColumn("__row", F.row_number().over(within))
-    return numbered.join(sized(shifts, CAPACITY * shares), ["length", "__share"]).withColumn("rank", F.col("__shift") + F.col("__row") - 1).drop("__share", "__shift", "__row")
+    n_shifts = sum(-(-k // RANKED_TOGETHER) for k in counts.values())
+    return numbered.join(sized(shifts, n_shifts), ["length", "__share"]).withColumn("rank", F.col("__shift") + F.col("__row") - 1).drop("__share", "__shift", "__row")
 
 
 def pack(pieces: DataFrame, keys: list[str], *, capacity: int = CAPACITY) -> DataFrame:
@@ -163,7 +166,7 @@ def pack(pieces: DataFrame, keys: list[str], *, capacity: int = CAPACITY) -> Dat
     table = pieces.sparkSession.createDataFrame([(p.length, p.from_rank, p.to_rank, p.first_sequence, p.per_sequence, p.offset) for p in plan], _PLAN_SCHEMA)
     names = pieces.columns
     place = F.broadcast(table.withColumnsRenamed({c: f"__{c}" for c in table.columns}))
-    row = ranked(pieces, sum(counts.values()), keys)
+    row = ranked(pieces, counts, keys)
     found = row.join(place, (F.col("length") == F.col("__length")) & (F.col("rank") >= F.col("__from_rank")) & (F.col("rank") < F.col("__to_rank")))
     step = F.col("rank") - F.col("__from_rank")
     return found.select(

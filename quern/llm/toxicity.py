@@ -31,7 +31,7 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "locals"),
     ("old", "young", "disabled", "blind", "deaf"),
     ("frauen", "männer", "mädchen", "jungen"),
-    ("muslime", "christen", "juden", "hindus"),
+    ("muslime", "christen", "juden", "buddhisten"),
     ("femmes", "hommes", "filles", "garçons"),
     ("musulmans", "chrétiens", "juifs", "hindous"),
     ("mujeres", "hombres", "niñas", "niños"),

@@ -1,0 +1,94 @@
+import random
+
+import numpy as np
+import pytest
+
+from quern.llm.jaccard import choose_boundary, jaccard_components, local_forest, n_subsets, overlap, partner_sizes, prefix_length, representatives, slack, subset_keys
+from tests.llm import plain
+
+
+def corpus(seed, n=250):
+    random.seed(seed)
+    words = "a b c d e f g h".split()
+    bases = [[random.choice(words) for _ in range(random.randint(1, 40))] for _ in range(15)]
+    rows = []
+    for i in range(n):
+        text = list(random.choice(bases))
+        for _ in range(random.randint(0, 3)):
+            at = random.randrange(len(text) + 1)
+            text[at : at + random.randint(0, 1)] = [random.choice(words)] * random.randint(0, 1)
+        rows.append((i * 7 % 251, random.choice((" ", "\n", "\t")).join(text).upper() if i % 5 else " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("percent", [75, 80])
+def test_prefixes_of_linked_sets_share_what_the_filter_asks_for(percent):
+    for a in range(1, 700):
+        for b in (x for x in partner_sizes(a, percent) if x <= a):
+            if (common := overlap(a, b, percent)) <= b:
+                least = min(prefix_length(a, percent) - (a - common), prefix_length(b, percent) - (b - common))
+                assert least >= max(slack(a), slack(b))
+
+
+@pytest.mark.parametrize("tile", [500_000, 40])
+def test_components_are_those_of_all_pairs(spark, tile):
+    rows = [*corpus(1), (900, None), (901, ""), (902, " \t\n"), (903, "one two"), (904, "ONE  two"), (905, "x " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(docs, tile_shingles=tile).collect())) == plain.jaccard_components(rows)
+
+
+def test_small_sets_alone_are_joined_by_subsets(spark):
+    random.seed(3)
+    rows = [(i, " ".join(random.choice("abc") for _ in range(random.randint(4, 9)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(docs).collect())) == plain.jaccard_components(rows)
+
+
+def test_subsets_meet_exactly_for_linked_sets():
+    random.seed(4)
+    for _ in range(300):
+        a, b = (set(random.sample(range(12), random.randint(1, 8))) for _ in range(2))
+        keys = [set(subset_keys(np.array(sorted(s), np.uint64), 75)) for s in (a, b)]
+        linked = 100 * len(a & b) >= 75 * len(a | b)
+        assert linked == any(True for _ in keys[0] & keys[1]) or not linked
+        assert len(keys[0]) <= n_subsets(len(a), 75)
+
+
+def test_boundary_follows_cost():
+    assert choose_boundary({}, 75) == 0
+    assert choose_boundary({1: 10, 2: 1000, 3: 1000}, 75) >= 2
+
+
+def test_forest_of_a_large_group_has_every_link():
+    random.seed(5)
+    sets = [np.unique(np.array([random.randint(0, 60) for _ in range(random.randint(5, 40))], np.uint64)) for _ in range(300)]
+    ids = np.arange(300) * 3
+    edges = local_forest(ids, np.array([len(s) for s in sets]), np.concatenate(sets), None, 75)
+    parent = {int(i): int(i) for i in ids}
+    for a, b in edges:
+        parent[a] = b
+    group = list(range(300))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for x in range(300):
+        for y in range(x):
+            common = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * common >= 75 * (len(sets[x]) + len(sets[y]) - common):
+                group[max(root(x), root(y))] = min(root(x), root(y))
+    assert all(parent[int(ids[x])] == int(ids[root(x)]) for x in range(300))
+
+
+def test_nulls_repeats_and_empty_tables(spark):
+    text = "the quick brown fox jumps over the lazy dog"
+    rows = [(5, text, 1), (5, text, 1), (3, text.upper(), 2), (None, text, 3), (7, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = sorted(map(tuple, jaccard_components(docs).collect()), key=repr)
+    assert got == sorted([(5, 5, 3), (5, 5, 3), (3, 5, 3), (None, 5, None), (7, 0, 7)], key=repr)
+    kept = representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((repr(r["doc_id"]) for r in kept.collect())) == ["3", "7", "None"]
+    assert jaccard_components(docs.limit(0)).collect() == []
