@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import remove_written, written
 
 
-def _smallest(edges: DataFrame, by: str, of: str):
-    return F.min(of).over(Window.partitionBy(by))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` with the smallest ``b`` of each ``a``: a grouped minimum joined back, so that Spark can split the edges of a hub."""
+    return edges.join(edges.groupBy("a").agg(F.min("b").alias("least")), "a")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = F.least("a", _smallest(both, "a", "b")).alias("least")
-    return both.select("a", "b", least).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` lead from larger to smaller ids."""
-    starred = edges.select("a", "b", _smallest(edges, "a", "b").alias("least"))
+    starred = _with_least(edges)
     inner = starred.select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
     return inner.unionByName(starred.select("a", F.col("least").alias("b"))).distinct()
 
@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     while mark[0]:
-        after = written(_small_star(_large_star(now)))
+        after = written(_small_star(written(_large_star(now))))
         remove_written(now)
         now, before, mark = after, mark, _mark(after)
         if mark == before:
