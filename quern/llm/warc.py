@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import sized, written
+from quern.llm.common import BROADCAST_ROWS, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records in an archive; an archive is read by one task.
@@ -41,13 +41,16 @@ def responses(pages: DataFrame, id_col: str, uri_col: str, payload_col: str) ->
     )
 
 
-def resolve_revisits(records: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
+def resolve_revisits(records: DataFrame, *, min_bytes: int = 1000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``records`` with ``record_type`` settled and ``refers_to``, and without the payloads of revisits.
 
     Of the responses with equal payloads of at least ``min_bytes``, the one with the largest ``record_id`` stays a
     response (rows that repeat that id stay too); the others become revisits that refer to it, as do records that come
     in as revisits of the same payload. A revisit without its response keeps its type and refers to null. Smaller
     payloads are left alone. Responses without an id become revisits wherever one with an id exists.
+
+    Up to ``broadcast_rows`` originals are broadcast. Beyond that, headers are joined to originals by digest, and the
+    revisits found so to the records by id and digest, so that payloads never meet by digest.
     """
     heads = records.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= min_bytes)).select("record_id", "payload_digest")
     repeated = heads.groupBy("payload_digest").agg(F.max("record_id").alias("__original"), F.count("*").alias("__n"))
@@ -57,7 +60,13 @@ def resolve_revisits(records: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
         .where("__original is not null and (__n > 1 or __wanted)")
         .select("payload_digest", "__original")
     )
-    joined = records.join(sized(originals, originals.count()), "payload_digest", "left")
+    if originals.count() <= broadcast_rows:
+        joined = records.join(F.broadcast(originals), "payload_digest", "left")
+    else:
+        heads = records.select(F.col("record_id").alias("__id"), "payload_digest").join(originals, "payload_digest")
+        found = heads.where(~F.col("__id").eqNullSafe(F.col("__original"))).distinct().withColumnRenamed("payload_digest", "__digest")
+        same = F.col("record_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest"))
+        joined = records.join(found, same, "left").drop("__id", "__digest")
     again = F.col("__original").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("__original"))
     kind = F.when(again, F.lit("revisit")).otherwise(F.col("record_type"))
     return joined.withColumns({"record_type": kind, "refers_to": F.when(kind == "revisit", F.col("__original"))}).withColumn(

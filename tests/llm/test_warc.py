@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from quern.llm import warc
 
 BIG, SMALL = "x" * 1000, "y" * 999
@@ -9,14 +11,15 @@ PAGES = [
 ]
 
 
-def archived(spark, pages, path):
+def archived(spark, pages, path, **options):
     table = spark.createDataFrame(pages, "page_id long, url string, html string, record_type string")
-    warc.write_archives(warc.resolve_revisits(warc.responses(table, "page_id", "url", "html")), path)
+    warc.write_archives(warc.resolve_revisits(warc.responses(table, "page_id", "url", "html"), **options), path)
     return warc.read_archives(spark, path)
 
 
-def test_records_come_back_with_revisits_resolved(spark, tmp_path):
-    rows = archived(spark, PAGES, f"{tmp_path}/a").collect()
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_records_come_back_with_revisits_resolved(spark, tmp_path, broadcast_rows):
+    rows = archived(spark, PAGES, f"{tmp_path}/a", broadcast_rows=broadcast_rows).collect()
     assert len(rows) == len(PAGES)
     texts = {}
     for page_id, _, html, _ in PAGES:
