@@ -15,6 +15,9 @@ from quern.llm.common import sized, written
 #: What marks a quoted line, and a line that introduces a quotation.
 QUOTED, INTRODUCES = r"^[ \t]*(>[ \t]*)+", r"(?i)\bwrote:[ \t]*$"
 
+#: Turns of a conversation that one window takes.
+STRETCH = 10_000
+
 
 def _level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, QUOTED, 0), "[^>]", ""))
@@ -89,8 +92,21 @@ def quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     both = said.select("conv", "turn", "hash", F.lit(None).cast("int").alias("level"), F.col("turn").alias("own")).unionByName(
         quoted.select("conv", "turn", "hash", "level", F.lit(None).cast(said.schema["turn"].dataType).alias("own"))
     )
-    before = Window.partitionBy("conv", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("source", F.max("own").over(before)).where("level is not null").select("conv", "turn", "level", "hash", "source")
+    return _latest_before(both).where("level is not null").select("conv", "turn", "level", "hash", "source")
+
+
+def _latest_before(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``source``: the largest ``own`` of an earlier turn of the same conversation and hash.
+
+    Turns are dealt into stretches of ``STRETCH``; a window runs within a stretch, and another over one row a stretch
+    hands on what came before. So no window holds all that one passage has in a large conversation.
+    """
+    cut = rows.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
+    totals = cut.groupBy("conv", "hash", "stretch").agg(F.max("own").alias("own"))
+    earlier = Window.partitionBy("conv", "hash").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    handed = totals.select("conv", "hash", "stretch", F.max("own").over(earlier).alias("handed"))
+    before = Window.partitionBy("conv", "hash", "stretch").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    return cut.withColumn("near", F.max("own").over(before)).join(handed, ["conv", "hash", "stretch"]).withColumn("source", F.coalesce("near", "handed"))
 
 
 def replies(quoted: DataFrame) -> DataFrame:

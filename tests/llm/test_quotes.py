@@ -1,3 +1,6 @@
+import pytest
+
+from quern.llm import quotes
 from quern.llm.quotes import link_conversations, quotations
 
 SCHEMA = "conv_id long, turn long, role string, text string, thread string"
@@ -43,8 +46,10 @@ def test_nested_levels_have_their_own_sources(spark):
     assert sorted((r["level"], r["source"]) for r in rows) == [(1, 2), (2, 0)]
 
 
-def test_long_chains_and_a_line_that_all_messages_share(spark):
-    rows = [(1, i, "user", (f"> only {i - 1}\n" if i else "") + f"only {i}\nRegards", "t") for i in range(40)]
+@pytest.mark.parametrize("stretch", [10_000, 7])
+def test_long_chains_and_a_line_that_all_messages_share(spark, monkeypatch, stretch):
+    monkeypatch.setattr(quotes, "STRETCH", stretch)
+    rows = [(1, i, "user", (f"> only {i - 1}\n" if i else "") + f"only {i}\nRegards" + ("\n> Regards" if i % 5 == 4 else ""), "t") for i in range(40)]
     got = link_conversations(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r["thread"] for r in got} == {0}
     assert [r["reply_to"] for r in got] == [None, *range(39)]
