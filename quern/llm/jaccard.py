@@ -156,16 +156,12 @@ def _sets(docs: DataFrame) -> DataFrame:
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler()
         for frame in frames:
-            sets = [shingle(t) for t in frame["text"]]
-            yield pd.DataFrame(
-                {
-                    "id": frame["id"],
-                    "n": [len(s) for s in sets],
-                    "h1": np.array([int(s.sum()) if len(s) else 0 for s in sets], np.uint64).view(np.int64),
-                    "h2": np.array([int(mixed(s + np.uint64(1)).sum()) if len(s) else 0 for s in sets], np.uint64).view(np.int64),
-                    "elements": [s.tobytes() if len(s) <= SMALL_AT_MOST else None for s in sets],
-                }
-            )
+            rows = []
+            for key, text in zip(frame["id"], frame["text"], strict=True):
+                s = shingle(text)
+                sums = np.array([s.sum(dtype=np.uint64), mixed(s + np.uint64(1)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
+                rows.append((key, len(s), int(sums[0]), int(sums[1]), s.tobytes() if len(s) <= SMALL_AT_MOST else None))
+            yield pd.DataFrame(rows, columns=["id", "n", "h1", "h2", "elements"])
 
     return docs.mapInPandas(digest, "id string, n long, h1 long, h2 long, elements binary").withColumn("id", F.col("id").cast("long"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 #: Words whose counts a worker keeps; the table is emptied when full.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 _NOWHERE = -1
 
 
@@ -114,7 +114,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         kept = _counts(rank_file)
         for texts in batches:
-            words = [(t or "").encode().split() for t in texts]
-            yield pd.DataFrame({"n_words": [len(w) for w in words], "n_tokens": [sum(map(kept.__getitem__, w)) for w in words]}, dtype="int64")
+            rows = []
+            for text in texts:
+                words = (text or "").encode().split()
+                rows.append((len(words), sum(map(kept.__getitem__, words))))
+            yield pd.DataFrame(rows, columns=["n_words", "n_tokens"], dtype="int64")
 
     return docs.select(id_col, counts(text_col).alias("c")).select(id_col, F.col("c.*"))
