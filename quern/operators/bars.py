@@ -49,3 +49,12 @@ def trend_runs(bars: DataFrame, key: str, time: str) -> DataFrame:
         .agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("length"))
         .drop("__run")
     )
+
+
+def filled_weeks(bars: DataFrame, key: str, time: str = "week") -> DataFrame:
+    """``bars`` with a row for every calendar week between a key's first and last: prices are the last close, volume is 0."""
+    spans = bars.groupBy(key).agg(F.min(time).alias("__from"), F.max(time).alias("__to"))
+    weeks = spans.select(key, F.explode(F.sequence("__from", "__to", F.expr("interval 7 days"))).alias(time))
+    upto = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    wide = weeks.join(bars, [key, time], "left").withColumn("__close", F.last("close", ignorenulls=True).over(upto))
+    return wide.select(key, time, *(F.coalesce(c, "__close").alias(c) for c in ("open", "high", "low", "close")), F.coalesce("volume", F.lit(0.0)).alias("volume"))

@@ -22,9 +22,10 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, carry: lis
     return joined.where("__side = 1").drop("__side")
 
 
-def tumbling_counts(events: DataFrame, time: str, width: str, by: list[str], value: str) -> DataFrame:
+def tumbling_counts(events: DataFrame, time: str, width: str, by: list[str], value: str, slide: str | None = None) -> DataFrame:
+    """Count and total per window and key; with ``slide`` the windows overlap and a row counts in each that holds it."""
     return (
-        events.groupBy(F.window(time, width), *by)
+        events.groupBy(F.window(time, width, slide), *by)
         .agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by, "n", "total")
     )

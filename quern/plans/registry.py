@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators.bars import breakouts, price_bars, relative_strength, trailing_mean, trend_runs
+from quern.functions import change, drawdown, per_unit_price
+from quern.operators.bars import breakouts, filled_weeks, price_bars, relative_strength, trailing_mean, trend_runs
 from quern.operators.events import asof_join, sessions, top_per_key, tumbling_counts
 from quern.sources import read_table
 from quern.streaming.jobs import stream_deduplicated, stream_sessions, stream_tumbling
 
 def _price():
-    return F.col("l_extendedprice") / F.col("l_quantity")
+    return per_unit_price("l_extendedprice", "l_quantity")
 
 
 
@@ -42,6 +43,20 @@ def weekly_trend_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend_runs(weekly_bars(spark, sf_dir), "brand", "week")
 
 
+def weekly_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filled_weeks(weekly_bars(spark, sf_dir), "brand")
+
+
+def weekly_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = Window.partitionBy("brand").orderBy("week")
+    columns = {"change": F.round(change("close", ordered), 6), "drawdown": F.round(drawdown("close", ordered), 6)}
+    return weekly_bars(spark, sf_dir).withColumns(columns).select("brand", "week", "close", "change", "drawdown")
+
+
+def sliding_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tumbling_counts(read_table(spark, sf_dir, "events"), "ts", "1 day", ["event_type"], "value", slide="6 hours")
+
+
 def clicks_after_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     clicks = events.where("event_type = 'click'").select("event_id", "ts", "user_id")
@@ -82,6 +97,9 @@ QUERIES = {
         weekly_breakouts,
         weekly_relative_strength,
         weekly_trend_runs,
+        weekly_filled,
+        weekly_changes,
+        sliding_event_counts,
         clicks_after_purchase,
         daily_event_counts,
         user_sessions,
@@ -127,6 +145,28 @@ ORACLE_SQL = {
     )
     SELECT brand, rising, min(week) AS first, max(week) AS last, count(*) AS length FROM numbered GROUP BY brand, rising, run
     """,
+    "weekly_filled": _BARS
+    + """
+    , weeks AS (
+        SELECT brand, CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAYS)) AS DATE) AS week FROM bars GROUP BY brand
+    ), wide AS (
+        SELECT brand, week, open, high, low, volume, last_value(close IGNORE NULLS) OVER (PARTITION BY brand ORDER BY week) AS close
+        FROM weeks LEFT JOIN bars USING (brand, week)
+    )
+    SELECT brand, week, coalesce(open, close) AS open, coalesce(high, close) AS high, coalesce(low, close) AS low, close, coalesce(volume, 0) AS volume
+    FROM wide
+    """,
+    "weekly_changes": _BARS
+    + """
+    SELECT brand, week, close, round(close / lag(close) OVER w - 1, 6) AS change,
+           round(1 - close / max(close) OVER (PARTITION BY brand ORDER BY week ROWS UNBOUNDED PRECEDING), 6) AS drawdown
+    FROM bars WINDOW w AS (PARTITION BY brand ORDER BY week)
+    """,
+    "sliding_event_counts": """
+        SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total
+        FROM (SELECT time_bucket(INTERVAL 6 HOURS, ts) - to_hours(6 * k) AS window_start, event_type, value FROM events, range(4) AS r(k))
+        GROUP BY ALL
+    """,
     "clicks_after_purchase": """
         SELECT c.event_id, c.ts, c.user_id, p.event_id AS last_event_id, p.value AS last_value
         FROM (SELECT * FROM events WHERE event_type = 'click') c

@@ -1,8 +1,10 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quern.operators.bars import breakouts, price_bars, trailing_mean, trend_runs
+from quern.functions import change, drawdown, per_unit_price
+from quern.operators.bars import breakouts, filled_weeks, price_bars, trailing_mean, trend_runs
 from quern.operators.events import asof_join, sessions, top_per_key, tumbling_counts
 from quern.sources import read_table, write_table
 
@@ -57,3 +59,23 @@ def test_tables_round_trip(spark, tmp_path):
         assert sorted(map(tuple, read_table(spark, str(tmp_path), "rows", fmt).select("k", "v").collect())) == [(1, "a"), (2, "b")]
     write_table(rows, str(tmp_path), "parts", partition_by=("k",))
     assert read_table(spark, str(tmp_path), "parts").where("k = 2").count() == 1
+
+
+def test_weeks_without_ticks_repeat_the_last_close(spark):
+    bars = spark.createDataFrame([("k", START.date(), 1.0, 3.0, 1.0, 2.0, 5.0), ("k", (START + timedelta(days=21)).date(), 4.0, 4.0, 4.0, 4.0, 1.0)], "brand string, week date, open double, high double, low double, close double, volume double")
+    rows = filled_weeks(bars, "brand").orderBy("week").collect()
+    assert [(r["open"], r["close"], r["volume"]) for r in rows] == [(1.0, 2.0, 5.0), (2.0, 2.0, 0.0), (2.0, 2.0, 0.0), (4.0, 4.0, 1.0)]
+
+
+def test_change_drawdown_and_prices_of_zero_quantities(spark):
+    rows = spark.createDataFrame([("k", i, float(v), float(i)) for i, v in enumerate((10, 5, 0, 20))], "k string, i int, v double, q double")
+    ordered = Window.partitionBy("k").orderBy("i")
+    got = rows.select("i", change("v", ordered).alias("c"), drawdown("v", ordered).alias("d"), per_unit_price("v", "q").alias("p")).orderBy("i").collect()
+    assert [r["c"] for r in got] == [None, -0.5, -1.0, None]
+    assert [r["d"] for r in got] == [0.0, 0.5, 1.0, 0.0]
+    assert [r["p"] for r in got][:2] == [None, 5.0]
+
+
+def test_sliding_windows_count_a_row_in_each_that_holds_it(spark):
+    events = spark.createDataFrame([(START, "a", 1.0)], "ts timestamp, kind string, v double")
+    assert tumbling_counts(events, "ts", "1 day", ["kind"], "v", slide="6 hours").count() == 4
