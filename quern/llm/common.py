@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,14 @@ def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+_worker_table: dict[Hashable, Any] = {}
+
+
+def worker_table(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: only the table asked for last, so that stages do not add up in memory."""
+    if key not in _worker_table:
+        _worker_table.clear()
+        _worker_table[key] = make()
+    return _worker_table[key]

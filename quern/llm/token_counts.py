@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from quern.llm.common import worker_table
+
 #: Words whose counts a worker keeps; the table is emptied when full.
 KEPT_WORDS = 300_000
 _NOWHERE = -1
@@ -97,11 +99,6 @@ class _Counts(dict):
         return pieces
 
 
-@functools.cache
-def _counts(rank_file: str) -> _Counts:
-    return _Counts(rank_file)
-
-
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rank_file: str) -> DataFrame:
     """``id_col``, ``n_words``, ``n_tokens`` of every row, over its whole text.
 
@@ -112,7 +109,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @pandas_udf("n_words long, n_tokens long")
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        kept = _counts(rank_file)
+        kept = worker_table(("counts", rank_file), lambda: _Counts(rank_file))
         for texts in batches:
             rows = []
             for text in texts:

@@ -13,8 +13,10 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from quern.llm.common import worker_table
+
 #: Parts a worker keeps; the table is emptied when full.
-KEPT_PARTS = 1_000_000
+KEPT_PARTS = 600_000
 #: Characters from which a part is not kept.
 KEPT_CHARS = 100
 #: Fixed value: how byte-level files split a text before merging.
@@ -47,7 +49,7 @@ class _Parts(dict):
     def __init__(self, path: str):
         self.model = tokenizer(path).model
         self.alphabet = byte_alphabet()
-        self.of_match = functools.lru_cache(maxsize=100_000)(self._encode)
+        self.of_match = functools.lru_cache(maxsize=30_000)(self._encode)
 
     def _encode(self, match: str) -> bytes:
         tokens = self.model.tokenize(match.encode().decode("latin-1").translate(self.alphabet))
@@ -66,17 +68,11 @@ class _Parts(dict):
         return ids
 
 
-@functools.cache
-def _parts(path: str) -> _Parts:
-    """One per Python worker."""
-    return _Parts(path)
-
-
 class PackedEncoder:
     """Ids of a text as bytes, four to an id, little-endian. Only for files whose splitting is byte-level and without a normaliser."""
 
     def __init__(self, path: str):
-        self.after_space = _parts(path)
+        self.after_space = worker_table(("parts", path), lambda: _Parts(path))
 
     @staticmethod
     def split(text: str) -> list[str]:
