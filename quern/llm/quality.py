@@ -7,8 +7,10 @@ the difference of the two logits. A document's score is then the mean over its f
 
 from __future__ import annotations
 
+import math
+import operator
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,62 +19,117 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from quern.llm.common import worker_table
 from quern.llm.samples import labelled_sample, remainder
 
 BITS = 17
 BUCKETS = 1 << BITS
-#: Lengths in bytes of the n-grams.
-GRAMS = (3, 4)
-#: Stands for a token that repeats the two before it.
+#: Fixed-point steps of a gain, so that sums do not depend on their order.
+STEPS = 1 << 24
+#: Stands for a token that repeats what is before it.
 REPEATED = "\x00same"
-#: Tokens whose features a worker keeps; the table is emptied when full.
-KEPT_TOKENS = 200_000
-
-
-def token_features(token: str) -> list[int]:
-    """Buckets of the token itself and of the n-grams of its bytes with both ends marked."""
-    marked, mask = f"<{token}>".encode(), BUCKETS - 1
-    return [zlib.crc32(marked) & mask, *(zlib.crc32(marked[i : i + n]) & mask for n in GRAMS for i in range(len(marked) - n + 1))]
+#: Tokens whose gains a worker keeps; the table is emptied when full.
+KEPT_TOKENS = 300_000
+#: Characters of text that are scored together.
+TOGETHER = 2_000_000
 
 
 def tokens(text: str) -> list[str]:
-    """Parts between white space, those that repeat the two parts before them being replaced by one mark."""
+    """Parts between white space, with a mark in place of repetition: of a part that repeats the two before it, and of any
+    that repeats the one before it where a quarter of all parts do."""
     parts = text.split()
+    again = bytes(map(operator.eq, parts, parts[1:]))
+    if 4 * again.count(1) >= max(8, len(parts)):
+        return parts[:1] + [REPEATED if same else p for same, p in zip(again, parts[1:], strict=True)]
+    if b"\x01\x01" not in again:
+        return parts
     return [REPEATED if a == b == c else c for a, b, c in zip([None, None, *parts], [None, *parts], parts, strict=False)]
 
 
-def document_features(text: str) -> np.ndarray:
-    return np.fromiter((b for token in tokens(text) for b in token_features(token)), dtype=np.int64)
+def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every feature of the given tokens, and which token it belongs to.
 
-
-@dataclass
+    Features are the token itself and its runs of 3 and of 4 bytes, a space standing at either end.
+    """
+    raw = np.frombuffer(f" {' '.join(parts)} ".encode(), np.uint8)
+    space = raw == 32
+    owner = np.cumsum(space) - 1
+    x = raw.astype(np.uint32)
+    three = x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)
+    four = three[:-1] * np.uint32(0x27D4EB2F) + x[3:] * np.uint32(0x165667B1)
+    inner = ~space
+    keep_three, keep_four = inner[1:-1], inner[1:-2] & inner[2:-1]
+    runs = np.concatenate([three[keep_three], four[keep_four]])
+    runs ^= runs >> np.uint32(15)
+    whole = np.array([zlib.crc32(p.encode()) for p in parts], np.uint32)
+    ids = np.concatenate([whole, runs * np.uint32(0x9E3779B1)]) >> np.uint32(32 - BITS)
+    owners = np.concatenate([np.arange(len(parts)), owner[:-2][keep_three], owner[:-3][keep_four]])
+    return ids.astype(np.int64), owners
+
+
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text and their shares among its features."""
+    parts = tokens(text)
+    ids = features(parts)[0] if parts else np.zeros(0, np.int64)
+    distinct, counts = np.unique(ids, return_counts=True)
+    return distinct.astype(np.int32), (counts / max(1, len(ids))).astype(np.float32)
+
+
+@dataclass(eq=False)
 class Model:
     gain: np.ndarray  # float32: what each bucket adds to the logit of label 1 over that of label 0
     bias: float
 
-    def scorer(self):
-        """A function of a text that keeps what it has worked out for frequent tokens."""
-        kept: dict[str, tuple[float, int]] = {}
-        gain, bias = self.gain, self.bias
-
-        def score(text: str) -> float:
-            total, count = 0.0, 0
-            for token in tokens(text):
-                found = kept.get(token)
-                if found is None:
-                    if len(kept) >= KEPT_TOKENS:
-                        kept.clear()
-                    ids = token_features(token)
-                    found = kept[token] = (float(gain[ids].sum(dtype=np.float64)), len(ids))
-                total += found[0]
-                count += found[1]
-            z = bias + (total / count if count else 0.0)
-            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-        return score
-
-
-def fit(texts: list[str], labels: list[int], *, dim: int = 8, epochs: int = 8, rate: float = 1.0, seed: int = 7) -> Model:
+    def score_all(self, texts: list[str]) -> list[float]:
+        return worker_table(("quality", self), lambda: _scorer(self))(texts)
+
+    def scorer(self) -> Callable[[str], float]:
+        return lambda text: self.score_all([text])[0]
+
+
+def _scorer(model: Model) -> Callable[[list[str]], list[float]]:
+    """Scores of texts; keeps for each token the sum of its features' gains and their number as one complex number,
+    so that a text takes one sum over its tokens."""
+    gain = np.rint(model.gain.astype(np.float64) * STEPS)
+    kept: dict[str, complex] = {}
+
+    def learn(new: list[str]) -> None:
+        ids, owners = features(new)
+        sums = np.bincount(owners, gain[ids], len(new)) + 1j * np.bincount(owners, minlength=len(new))
+        kept.update(zip(new, sums.tolist(), strict=True))
+
+    def score(texts: list[str]) -> list[float]:
+        split = [tokens(t) for t in texts]
+        new = set().union(*split) - kept.keys()
+        if len(kept) + len(new) > KEPT_TOKENS:
+            kept.clear()
+            new = set().union(*split)
+        if new:
+            learn(list(new))
+        out = []
+        for parts in split:
+            total = sum(map(kept.__getitem__, parts), 0j)
+            z = model.bias + (total.real / STEPS / total.imag if total.imag else 0.0)
+            out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))))
+        return out
+
+    return score
+
+
+def together(texts: pd.Series) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``TOGETHER`` characters; null counts as empty."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text or "")
+        size += len(part[-1])
+        if size >= TOGETHER:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def fit(texts: list[str], labels: list[int], *, dim: int = 8, epochs: int = 5, rate: float = 1.0, seed: int = 7) -> Model:
     """Stochastic gradient descent, one document a step, with a rate that falls to zero and classes weighted alike.
 
     Without texts, or with one class only, every text gets that class's share (0.5 without texts).
@@ -84,10 +141,7 @@ def fit(texts: list[str], labels: list[int], *, dim: int = 8, epochs: int = 8, r
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     output, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-    bags = []
-    for text in texts:
-        ids, counts = np.unique(document_features(text), return_counts=True)
-        bags.append((ids.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
+    bags = [bag(text) for text in texts]
     weight = np.where(y == 1, 0.5 / positive, 0.5 / (1 - positive))
     steps, done = epochs * len(y), 0
     for _ in range(epochs):
@@ -107,7 +161,7 @@ def fit(texts: list[str], labels: list[int], *, dim: int = 8, epochs: int = 8, r
     return Model((vectors @ (output[1] - output[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 6_000, max_chars: int = 24_000_000) -> Model:
+def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 4_000, max_chars: int = 16_000_000) -> Model:
     """Fit on at most ``max_docs`` labelled documents (and ``max_chars`` characters) whose crc32(id) mod 4 is not 2."""
     sample = labelled_sample(docs, labels, "quality", id_col=id_col, text_col=text_col, modulus=4, held_out=2, max_docs=max_docs, max_chars=max_chars)
     return fit(sample["text"].tolist(), sample["label"].tolist())
@@ -123,9 +177,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     @pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value.scorer()
+        own = shared.value
         for texts in batches:
-            yield texts.map(lambda t: own(t or "")).astype("float64")
+            yield pd.Series([s for part in together(texts) for s in own.score_all(part)], dtype="float64")
 
     return docs.withColumn("score", scores(F.col(text_col))).withColumns(
         {"predicted": (F.col("score") >= threshold).cast("int"), "held_out": remainder(id_col, 4) == 2}
