@@ -7,9 +7,11 @@ so that naming a group does not by itself move a score (counterfactual logit pai
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from quern.llm.common import worker_table
 from quern.llm.samples import labelled_sample, remainder
 
 # Terms for groups of people that may stand in for one another, by kind and language.
@@ -49,6 +52,7 @@ def swaps() -> dict[str, str]:
     return {term: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, term in enumerate(kind)}
 
 
+@functools.lru_cache(maxsize=100_000)
 def buckets(token: str) -> tuple[int, ...]:
     """Of the words in a lower-case token without white space."""
     return tuple(zlib.crc32(word.encode()) & ((1 << BITS) - 1) for word in _WORD.findall(token))
@@ -68,30 +72,40 @@ def counterfactual(text: str, table: dict[str, str]) -> tuple[np.ndarray, np.nda
     return features(before), features(_WORD.sub(lambda m: table.get(m[0], m[0]), before))
 
 
-@dataclass
+@dataclass(eq=False)
 class Model:
     weights: np.ndarray  # float32, one a bucket; most are zero
     bias: float
 
-    def scorer(self):
-        """A function of a text that keeps which buckets with a weight each frequent token holds."""
-        kept: dict[str, tuple[int, ...]] = {}
-        weights, bias = self.weights, self.bias
+    def scorer(self) -> Callable[[str], float]:
+        """A function from a text to its score, the same one each time in a process."""
+        return worker_table(("toxicity", self), lambda: _scorer(self))
 
-        def score(text: str) -> float:
-            hit: set[int] = set()
-            for token in set(text.lower().split()):
-                found = kept.get(token)
-                if found is None:
-                    if len(kept) >= KEPT_TOKENS:
-                        kept.clear()
-                    found = kept[token] = tuple(b for b in buckets(token) if weights[b])
-                if found:
-                    hit.update(found)
-            z = bias + float(weights[sorted(hit)].sum(dtype=np.float64)) if hit else bias
-            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-        return score
+class _Weighted(dict):
+    """For each token, worked out when first asked for, those of its buckets that have a weight."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= KEPT_TOKENS:
+            self.clear()
+        found = tuple(b for b in buckets(token) if self.weights[b])
+        if len(token) <= 100:
+            self[token] = found
+        return found
+
+
+def _scorer(model: Model) -> Callable[[str], float]:
+    weighted, weights, bias = _Weighted(model.weights), model.weights, model.bias
+
+    def score(text: str) -> float:
+        hit = set().union(*filter(None, map(weighted.__getitem__, set(text.lower().split()))))
+        z = bias + sum(float(weights[b]) for b in sorted(hit))
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+
+    return score
 
 
 def evidence(with_1: np.ndarray, with_0: np.ndarray, n_1: int, n_0: int) -> np.ndarray:
@@ -126,7 +140,8 @@ def fit(
     split = [np.bincount(np.concatenate([f for f, v in zip(found, y, strict=True) if v == side]), minlength=1 << BITS) for side in (1, 0)]
     columns = np.flatnonzero(evidence(*split, int(y.sum()), int((1 - y).sum())) >= min_evidence)
     table = swaps()
-    pairs = [p for t in texts if (p := counterfactual(t, table))]
+    terms = [b for term in table for b in buckets(term)]
+    pairs = [p for t, f in zip(texts, found, strict=True) if np.isin(f, terms).any() and (p := counterfactual(t, table))]
     if pairs:
         columns = np.union1d(columns, np.concatenate([x for p in pairs for x in p]))
     place = np.full(1 << BITS, -1)
@@ -157,7 +172,7 @@ def fit(
     return Model(weights, float(b))
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 12_000, max_chars: int = 60_000_000) -> Model:
+def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 8_000, max_chars: int = 32_000_000) -> Model:
     """Fit on at most ``max_docs`` labelled documents (and ``max_chars`` characters) whose crc32(id) mod 3 is not 1."""
     sample = labelled_sample(docs, labels, "toxic", id_col=id_col, text_col=text_col, modulus=3, held_out=1, max_docs=max_docs, max_chars=max_chars)
     return fit(sample["text"].tolist(), sample["label"].tolist())
