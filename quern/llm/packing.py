@@ -23,7 +23,7 @@ from quern.llm.tokenize import PackedEncoder
 
 CAPACITY = 2048
 #: Rows of one length among which ranks are counted one by one.
-RANKED_TOGETHER = 10_000
+RANKED_TOGETHER = 2_000
 
 _PLAN_SCHEMA = "length int, from_rank long, to_rank long, first_sequence long, per_sequence int, offset int"
 

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from quern.llm.common import worker_table
 
 #: Parts a worker keeps; the table is emptied when full.
-KEPT_PARTS = 600_000
+KEPT_PARTS = 900_000
 #: Characters from which a part is not kept.
 KEPT_CHARS = 100
 #: Fixed value: how byte-level files split a text before merging.
