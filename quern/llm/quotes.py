@@ -2,7 +2,8 @@
 
 Everything is DataFrame expressions. A message is taken apart within its row; only hashes of passages are shuffled.
 Sources are found by one window per (conversation, hash) over the quoted passages and the passages equal to them, so a
-line that thousands of messages share, or a conversation with a third of all messages, yields no pairs.
+line that thousands of messages share, or a conversation with a third of all messages, yields no pairs. Passages that no
+message said as a unit are sought a second time, among the stretches of as many lines of the conversation's messages.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def _at(array: Column, i: Column, otherwise: Column) -> Column:
 def parsed(messages: DataFrame, text_col: str) -> DataFrame:
     """``messages`` with ``__lines`` (level and content of each line, introductions of quotations left out) and ``__runs``.
 
-    A run is a longest row of lines of one level that are not blank; its text is their contents with single spaces.
+    A run is a longest row of lines of one level that are not blank; its text is their contents with single spaces, its
+    passage the same with line breaks, and ``n`` counts them.
     """
     raw = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n", "\n"), "\n")
     lines = F.transform(raw, lambda x: F.struct(_level(x).alias("level"), _content(x).alias("content"), x.alias("line")))
@@ -52,11 +54,14 @@ def parsed(messages: DataFrame, text_col: str) -> DataFrame:
         | (_at(one, i - 1, nothing)["level"] != F.get(one, i)["level"]),
     )
     at = F.col("__starts")
+    content = lambda r: F.transform(F.slice(one, r["s"] + 1, r["e"] - r["s"]), lambda x: x["content"])
     runs = F.transform(
         F.filter(F.transform(at, lambda s, k: F.struct(s.alias("s"), F.get(at, k + 1).alias("e"))), lambda r: r["e"].isNotNull()),
         lambda r: F.struct(
             F.get(one, r["s"])["level"].alias("level"),
-            F.lower(F.array_join(F.transform(F.slice(one, r["s"] + 1, r["e"] - r["s"]), lambda x: x["content"]), " ")).alias("text"),
+            F.lower(F.array_join(content(r), " ")).alias("text"),
+            F.lower(F.array_join(content(r), "\n")).alias("passage"),
+            (r["e"] - r["s"]).alias("n"),
         ),
     )
     return (
@@ -79,20 +84,42 @@ def own_units(lines: Column, runs: Column) -> Column:
     return F.array_distinct(F.transform(texts, F.md5))
 
 
+def own_stretches(lines: Column, n: Column) -> Column:
+    """Hashes of every ``n`` lines that follow one another in what a message itself says, blank and quoted ones left out."""
+    own = F.transform(F.filter(lines, lambda x: (x["level"] == 0) & (x["content"] != "")), lambda x: F.lower(x["content"]))
+    starts = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.md5(F.array_join(F.slice(own, i, n), "\n"))))
+
+
 def quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """Every quoted passage: ``conv``, ``turn``, ``level``, ``hash`` and ``source``, the latest earlier turn of the
-    conversation that said it in its own words (a line, a run of lines, or the whole message), or null."""
+    conversation that said it in its own words (a line, a run of lines, or the whole message). Where none did, it is the
+    latest earlier turn in whose own lines, blank ones left out, those of the passage follow one another; or null."""
     units = parsed(messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("__text")), "__text")
     units = units.where("conv is not null and turn is not null")
     quoted = units.select("conv", "turn", F.explode(F.filter("__runs", lambda r: r["level"] > 0)).alias("r"))
-    quoted = written(quoted.select("conv", "turn", F.col("r.level").alias("level"), F.md5(F.col("r.text")).alias("hash")))
-    sought = written(quoted.select("conv", "hash").distinct())
+    quoted = written(quoted.select("conv", "turn", F.col("r.level").alias("level"), F.md5(F.col("r.text")).alias("hash"), F.md5(F.col("r.passage")).alias("passage"), F.col("r.n").alias("n")))
     said = units.select("conv", "turn", F.explode(own_units(F.col("__lines"), F.col("__runs"))).alias("hash"))
+    whole = written(_sources(quoted, said))
+    missed = whole.where("source is null and n > 1").drop("source")
+    lengths = written(missed.groupBy("conv").agg(F.collect_set("n").alias("ns"), F.max("turn").alias("last")))
+    n = lengths.count()
+    if n:
+        near = units.select("conv", "turn", "__lines").join(sized(lengths, n), "conv").where("turn < last")
+        near = near.select("conv", "turn", "__lines", F.explode("ns").alias("n"))
+        parts = near.select("conv", "turn", F.explode(own_stretches(F.col("__lines"), F.col("n"))).alias("hash"))
+        found = _sources(missed.withColumns({"hash": F.col("passage"), "whole": F.col("hash")}), parts)
+        found = found.withColumn("hash", F.col("whole"))
+        whole = whole.where("source is not null or n = 1").unionByName(found.select(*whole.columns))
+    return whole.select("conv", "turn", "level", "hash", "source")
+
+
+def _sources(quoted: DataFrame, said: DataFrame) -> DataFrame:
+    """``quoted`` (a stored table) with ``source``, the latest earlier turn of the conversation with the hash in ``said``."""
+    sought = written(quoted.select("conv", "hash").distinct())
     said = said.join(sized(sought, sought.count()), ["conv", "hash"], "left_semi").distinct()
-    both = said.select("conv", "turn", "hash", F.lit(None).cast("int").alias("level"), F.col("turn").alias("own")).unionByName(
-        quoted.select("conv", "turn", "hash", "level", F.lit(None).cast(said.schema["turn"].dataType).alias("own"))
-    )
-    return _latest_before(both).where("level is not null").select("conv", "turn", "level", "hash", "source")
+    both = said.select("conv", "turn", "hash", F.col("turn").alias("own")).unionByName(quoted, allowMissingColumns=True)
+    return _latest_before(both).where("level is not null").select(*quoted.columns, "source")
 
 
 def _latest_before(rows: DataFrame) -> DataFrame:

@@ -55,6 +55,30 @@ def test_long_chains_and_a_line_that_all_messages_share(spark, monkeypatch, stre
     assert [r["reply_to"] for r in got] == [None, *range(39)]
 
 
+@pytest.mark.parametrize("stretch", [10_000, 1])
+def test_parts_of_what_a_message_said(spark, monkeypatch, stretch):
+    monkeypatch.setattr(quotes, "STRETCH", stretch)
+    texts = [
+        "One is first.\nTwo is next.\nThree is last.",
+        "One is first.\nTwo  is next.\n\n> old\nThree is last.\nFour.",
+        "Two is next.\nOne is first.\nsomething between\nTwo is next, not",
+        "> One is first.\n> TWO is next.\nreply\n> Three is last.",
+        "> Two is next.\n> Three is last.\nBoth.",
+        "> One is first.\n> Three is last.\nNot so.",
+        "> > Three is last.\n> > Four.\n> Both.\nYes.",
+        "> Two is next.\n> Three is last.\n> Four.\n> Five.\nNo.",
+    ]
+    rows = [(c, i, "user", t, "t") for c in (1, 2) for i, t in enumerate(texts) if c == 1 or i != 1]
+    got = quotations(spark.createDataFrame(rows, SCHEMA)).where("turn > 2").collect()
+    found = {c: sorted((r["turn"], r["level"], -1 if r["source"] is None else r["source"]) for r in got if r["conv"] == c) for c in (1, 2)}
+    assert found[1] == [(3, 1, 1), (3, 1, 1), (4, 1, 1), (5, 1, -1), (6, 1, 4), (6, 2, 1), (7, 1, -1)]
+    assert found[2] == [(3, 1, 0), (3, 1, 0), (4, 1, 0), (5, 1, -1), (6, 1, 4), (6, 2, -1), (7, 1, -1)]
+    linked = link_conversations(spark.createDataFrame(rows, SCHEMA)).where("conv_id = 2 and turn = 3").collect()
+    assert [(r["reply_to"], r["thread"], r["n_quoted"], r["n_linked"]) for r in linked] == [(0, 0, 2, 2)]
+    plan = quotations(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_empty_table_and_native_plan(spark):
     empty = spark.createDataFrame([], SCHEMA)
     linked = link_conversations(empty)
