@@ -2,6 +2,7 @@
 
 With byte-level splitting, a space between two characters that are not white space always starts a new match, so the
 ids of a text are those of its parts before each such space, put together. Parts recur; they are kept as packed ids.
+The file's added tokens, such as the end of a text, are taken out of a text first and keep their own ids.
 """
 
 from __future__ import annotations
@@ -36,11 +37,9 @@ def byte_alphabet() -> dict[int, str]:
 
 @functools.cache
 def tokenizer(path: str) -> Tokenizer:
-    """One per Python worker. Strings of special tokens in a text are ordinary text."""
+    """One per Python worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a worker a core
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
-    return loaded
+    return Tokenizer.from_file(path)
 
 
 class _Parts(dict):
@@ -69,10 +68,19 @@ class _Parts(dict):
 
 
 class PackedEncoder:
-    """Ids of a text as bytes, four to an id, little-endian. Only for files whose splitting is byte-level and without a normaliser."""
+    """Ids of a text as bytes, four to an id, little-endian. Only for files whose splitting is byte-level and without a normaliser.
+
+    They are those of the library without the tokens that it would add around a text. Where an added token takes white
+    space with it or must be a word of its own, or some are matched after others, the library encodes the texts that hold one.
+    """
 
     def __init__(self, path: str):
         self.after_space = worker_table(("parts", path), lambda: _Parts(path))
+        self.library = tokenizer(path)
+        added = self.library.get_added_tokens_decoder()
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.plain = len({t.normalized for t in added.values()}) <= 1 and not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.between = regex.compile(f"({'|'.join(map(regex.escape, sorted(self.added, key=len, reverse=True)))})")
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -83,5 +91,12 @@ class PackedEncoder:
         return _SAFE.split(text)
 
     def __call__(self, text: str) -> bytes:
+        if not any(token in text for token in self.added):
+            return self.ordinary(text)
+        if not self.plain:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self.added[part] if part in self.added else self.ordinary(part) for part in self.between.split(text)])
+
+    def ordinary(self, text: str) -> bytes:
         first, *others = self.split(text)
         return self.after_space.of_text(first) + b"".join(map(self.after_space.__getitem__, others))

@@ -1,9 +1,13 @@
+import json
 import random
+import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as public
 import pytest
+from tokenizers import Tokenizer
 
 from quern.llm.packing import assemble, best_fit_decreasing, pack, pack_documents, token_pieces
 from quern.llm.tokenize import PackedEncoder, tokenizer
@@ -56,6 +60,28 @@ def test_packed_ids_are_the_tokenizer_s(text):
     assert np.frombuffer(encoder(text), "<u4").tolist() == want == np.frombuffer(encoder(text), "<u4").tolist()
 
 
+@pytest.mark.parametrize("kind", [{}, {"lstrip": True}, {"rstrip": True, "single_word": True}, {"normalized": True, "special": False}])
+def test_added_tokens_in_a_text_keep_their_ids(tmp_path, kind):
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end}", f" a {end} b  c{end} ", f"a\n{end}\n\nb <|endoftext| > {end[:-1]}", f"word {end} " * 300, f"x<{end}>y <|end|>z {end}1"]
+    described = json.loads(Path(FILE).read_text())
+    described["added_tokens"][0] |= kind
+    described["added_tokens"].append(described["added_tokens"][0] | {"id": 50257, "content": "<|end|>"})
+    file = tmp_path / "tokenizer.json"
+    file.write_text(json.dumps(described))
+    for path in (FILE, str(file)):
+        library, encoder = Tokenizer.from_file(path), PackedEncoder(path)
+        assert 50256 in library.encode(texts[0], add_special_tokens=False).ids or kind
+        for text in texts:
+            assert np.frombuffer(encoder(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_of_a_document_with_an_added_token(spark):
+    docs = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
+    (row,) = pack_documents(docs, tokenizer_file=FILE).collect()
+    assert (row["length"], row["ids_crc32"]) == (4, zlib.crc32(np.array([64, 50256, 65, 0], "<u4").tobytes()))
+
+
 def test_documents_come_back_from_their_sequences(spark):
     texts = [(1, "a b c"), (2, None), (3, ""), (4, "word " * 9000), (None, "no id"), (1, "a b c")]
     docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 as length", "2 as offset")
