@@ -33,8 +33,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts good."""
+    """Documents that the quality classifier predicts good; all of them where the labels in its sample are not of both classes."""
     model = quality.fit_on_labels(docs, _labels(spark, sf_dir))
+    if not model.two_classes:
+        return docs
     return quality.score(_whole(docs), model).where("predicted = 1").select("row.*")
 
 

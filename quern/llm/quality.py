@@ -79,6 +79,7 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     gain: np.ndarray  # float32: what each bucket adds to the logit of label 1 over that of label 0
     bias: float
+    two_classes: bool = True  # false where all texts get one score, for want of labels of both classes
 
     def score_all(self, texts: list[str]) -> list[float]:
         return worker_table(("quality", self), lambda: _scorer(self))(texts)
@@ -137,7 +138,7 @@ def fit(texts: list[str], labels: list[int], *, dim: int = 8, epochs: int = 5, r
     y = np.asarray(labels, dtype=np.int64)
     positive = y.mean() if len(y) else 0.5
     if positive in (0.0, 1.0) or not len(y):
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log((positive + 1e-3) / (1 - positive + 1e-3))))
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log((positive + 1e-3) / (1 - positive + 1e-3))), two_classes=False)
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     output, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)

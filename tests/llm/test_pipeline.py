@@ -57,6 +57,14 @@ def test_all_that_is_left_is_packed(stages):
         assert (rows["offset"].to_numpy() == np.cumsum([0, *rows["length"][:-1]])).all() and rows["length"].sum() <= 2048
 
 
+@pytest.mark.parametrize("labels", [[], [(-1, 0, 0), (-2, 1, 0)], [(k, 0, 0) for k in range(1, 9)], [(k, 1, 0) for k in range(1, 9)]])
+def test_without_two_classes_of_labels_the_quality_stage_keeps_all(spark, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(k, f"a clean sentence about the weather on day {k}.") for k in range(1, 9)] + [(None, "x"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.keep_good(spark, docs, str(tmp_path)).collect()), key=repr) == sorted(rows, key=repr)
+
+
 def test_odd_rows_go_through_all_stages(spark, sf_dir):
     text = "a clean sentence about the weather in the north and the south of the land."
     rows = [(1, text, "en", None, 3, "x"), (1, text, "en", None, 3, "x"), (2, None, None, None, None, None), (3, "", "en", "s", 0, "x"), (None, text, "en", "s", 1, "x"), (4, text + " more", "en", "s", 1, "y")]
