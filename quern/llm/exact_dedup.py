@@ -31,7 +31,7 @@ def exact_dedup(
     Texts are equal when they are identical byte for byte; a null text counts as empty. ``keep_id`` is the largest id
     among the rows with the same text (null only if all their ids are null) and ``kept`` marks the rows that bear it:
     rows that repeat an id with the same text are both kept or both dropped. ``text_sha256`` is null for texts that
-    earlier steps showed to be unique, unless ``digest_all``. Other columns are ignored unless carried. An empty table
+    occur once, unless ``digest_all``. Other columns are ignored unless carried. An empty table
     gives no rows.
 
     ``broadcast_rows`` bounds each key table that is broadcast. Where there are more (length, prefix) keys, the full
@@ -82,5 +82,5 @@ def exact_dedup(
         keep.alias("keep_id"),
         F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"),
         F.col("__id").eqNullSafe(keep).alias("kept"),
-        F.col("__sha").alias("text_sha256"),
+        (F.col("__sha") if digest_all else F.when(~alone, F.col("__sha"))).alias("text_sha256"),
     )

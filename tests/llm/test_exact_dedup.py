@@ -43,6 +43,13 @@ def test_unique_texts_are_not_hashed(spark):
     assert got[9] is None and got[3] is None and got[1] is not None
 
 
+def test_hashes_are_the_same_on_either_side_of_the_broadcast_bound(spark):
+    docs = spark.createDataFrame([*ROWS, (13, "word " * 100 + "a", "a", "b"), (14, "word " * 100 + "b", "a", "b")], SCHEMA)
+    few, many = (sorted(map(tuple, exact_dedup(docs, broadcast_rows=n).collect()), key=repr) for n in (1000, 0))
+    assert few == many
+    assert all((sha is None) == (size == 1) for _, _, size, _, sha in few)
+
+
 def test_empty_table(spark):
     assert exact_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
