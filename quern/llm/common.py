@@ -1,26 +1,27 @@
-"""What the operators share: tables in the cluster's shared folder, and joins that broadcast only what has been counted."""
+"""What the operators share: tables in the cluster's shared folder, joins that broadcast only what has been counted, and
+tables of bounded size that a Python worker keeps."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import sys
 from collections.abc import Callable, Hashable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import shared_folder
+
 #: Rows up to which a narrow table (keys and a few numbers, at most about 100 bytes a row) is broadcast.
 BROADCAST_ROWS = 500_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one named by ``spark.checkpoint.dir``. Only where none is named (tests), a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/quern-{uuid.uuid4().hex}"
+#: Bytes, as estimated, of what a Python worker keeps of earlier results.
+KEPT_BYTES = 48 << 20
+#: Characters or bytes of a key beyond which its result is not kept.
+KEPT_KEY = 100
+#: Bits of a bitmap of hashes at most: 64 MB.
+BITMAP_BITS = 1 << 29
+#: Bits in each row of a bitmap, as Spark's bitmap functions have it.
+_ROW_BITS = 1 << 15
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -49,6 +50,81 @@ def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+class Bitmap:
+    """Which values of a column occur in a table, as one bit for the hash of each: broadcast however many values there are.
+
+    It has about 16 bits a value, up to ``most_bits``, which bounds its size. A value of the table always hits; others
+    hit by chance, more often the fuller it is, so what hits must still be joined exactly, and what does not need not be.
+    """
+
+    def __init__(self, values: DataFrame, column: str, n: int, most_bits: int = BITMAP_BITS):
+        self.rows = 1
+        while self.rows * _ROW_BITS < min(16 * n, most_bits):
+            self.rows *= 2
+        place = self._placed(values.select(column), column).select("__row", F.col("__hash").bitwiseAND(F.lit(_ROW_BITS - 1)).alias("__bit"))
+        self.table = written(place.groupBy("__row").agg(F.bitmap_construct_agg("__bit").alias("__bits")))
+
+    def _placed(self, df: DataFrame, column: str) -> DataFrame:
+        hashed = df.withColumn("__hash", F.when(F.col(column).isNotNull(), F.xxhash64(column)))
+        return hashed.withColumn("__row", F.pmod(F.shiftright("__hash", 15), F.lit(self.rows)))
+
+    def marked(self, df: DataFrame, column: str, flag: str) -> DataFrame:
+        """``df`` and a boolean ``flag``: whether the value in ``column`` hits; false for nulls."""
+        found = self._placed(df, column).join(F.broadcast(self.table), "__row", "left")
+        byte = F.conv(F.hex(F.expr("substring(__bits, cast((__hash & 32767) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(__hash & 7 as int))")) != 0
+        return found.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__row", "__hash", "__bits")
+
+
+def joined(df: DataFrame, keys: DataFrame, n_keys: int, column: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join with ``keys`` (a stored table that does not repeat ``column``); of many keys only the rows that can match are shuffled."""
+    if n_keys <= limit:
+        return df.join(F.broadcast(keys), column)
+    return Bitmap(keys, column, n_keys).marked(df, column, "__hit").where("__hit").drop("__hit").join(keys, column)
+
+
+def without(df: DataFrame, keys: DataFrame, n_keys: int, column: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is not in ``keys`` (a stored table); of many keys only the rows that may be are shuffled."""
+    if n_keys <= limit:
+        return df.join(F.broadcast(keys), column, "left_anti")
+    marked = Bitmap(keys, column, n_keys).marked(df, column, "__hit")
+    return marked.where("not __hit").unionByName(marked.where("__hit").join(keys, column, "left_anti")).drop("__hit")
+
+
+class Kept(dict):
+    """Results of ``make`` by text or bytes, worked out when first asked for; their estimated size stays below ``limit``.
+
+    A result is kept from the second time on that its key is asked for. A full table stays as it is, since what came
+    first is mostly what is frequent, until it has been missed four times for each of its entries; then it starts anew.
+    Results for keys longer than ``KEPT_KEY`` are not kept, so a text of long tokens takes no more than one of words.
+    """
+
+    _SEEN = 1 << 21
+
+    def __init__(self, make: Callable[[Any], Any], limit: int = KEPT_BYTES):
+        self.make, self.limit = make, limit
+        self._start()
+
+    def _start(self) -> None:
+        self.clear()
+        self.room, self.missed, self.seen = self.limit, 0, bytearray(self._SEEN)
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.make(key)
+        if self.room < 0:
+            self.missed += 1
+            if self.missed > 4 * len(self):
+                self._start()
+        elif len(key) <= KEPT_KEY:
+            place = hash(key) & (self._SEEN - 1)
+            if self.seen[place]:
+                self.room -= sys.getsizeof(key) + sys.getsizeof(value) + 100
+                self[key] = value
+            else:
+                self.seen[place] = 1
+        return value
+
+
 _worker_table: dict[Hashable, Any] = {}
 
 

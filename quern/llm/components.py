@@ -39,8 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     while mark[0]:
-        after = written(_small_star(written(_large_star(now))))
-        remove_written(now)
+        between = written(_large_star(now))
+        after = written(_small_star(between))
+        remove_written(now, between)
         now, before, mark = after, mark, _mark(after)
         if mark == before:
             break

@@ -1,8 +1,9 @@
 """Exact Jaccard join on word shingles, and the groups that its links form.
 
 A size-aware heavy-light join (Deng, Tao and Li 2018). Small sets are joined by enumerating their subsets of just the
-size that two linked sets must share: sets with a common one are linked, with nothing left to verify. Large sets go
-through inverted lists. A set puts into the lists only a prefix of its hashes that no partner can miss:
+size that two linked sets must share: sets with a common one (by a 128-bit hash) are linked, with nothing left to verify.
+Large sets go through inverted lists. The boundary is where counted subsets cost more than listing and scanning: most
+corpora have it at two shingles, those with many short texts around common phrases higher. A set puts into the lists only a prefix of its hashes that no partner can miss:
 
 * Linked sets of sizes a >= b share at least 3/7 (a + b) shingles (for 0.75), so a set of size n misses at most n/4 of
   a partner's. If its n/4 + t smallest hashes are listed, at least t of them are in the partner's list entry as well.
@@ -12,15 +13,18 @@ through inverted lists. A set puts into the lists only a prefix of its hashes th
   first, and two linked sets still meet. So common passages do not tie unrelated texts together.
 
 Sets that meet form blocks, usually a few near copies each. Every set of a block is shipped once and compared there
-exactly; a block with more shingles than a task should hold is cut into tiles, and each pair of tiles is a task.
-Identical sets are folded into one before any of this. No step emits pairs: what leaves a task is a spanning forest.
+exactly; a block with more shingles than a task should hold is cut by size into classes, of which only neighbours can
+hold linked sets, and those into tiles, and each pair of tiles is a task. Identical sets are folded into one before any
+of this. No step emits pairs: what leaves a task is a spanning forest. Texts are read twice: for the sets' digests and
+prefixes, and, only where sets meet, for the sets. Hashes that many sets list are counted by grouping and joined back,
+so that no task gathers them.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -28,18 +32,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import remove_written, sized, written
+from quern.llm.common import joined, remove_written, sized, without, written
 from quern.llm.components import components
-from quern.llm.shingles import Shingler, mixed
+from quern.llm.shingles import mixed, shingles
 
-#: Largest size for which enumerating subsets is considered at all.
-SMALL_AT_MOST = 12
+#: Largest size for which subsets are enumerated; beyond it a set has over 3,000 of them, more than any list costs.
+SMALL_AT_MOST = 16
 #: Shingles of a block that one task takes from each side.
 TILE_SHINGLES = 500_000
 #: What shipping and comparing a shingle costs against a row in a list, by what part of the sets survive so far.
 SHIPPED = 0.25
+#: What it costs, against a row in a list, to scan one that another set put there.
+SCANNED = 0.02
 #: Sets of a tile compared with all others before those outside the largest group are.
 PIVOTS = 64
+#: Hashes after which a task hands on the sets it has made.
+HELD_HASHES = 1_000_000
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -64,13 +72,14 @@ def n_subsets(n: int, percent: int) -> int:
     return sum(math.comb(n, c) for b in partner_sizes(n, percent) if (c := overlap(n, b, percent)) <= n)
 
 
-def choose_boundary(histogram: Mapping[int, int], percent: int) -> int:
-    """The size up to which sets are joined by subsets, so that rows for subsets and rows for lists are fewest in all.
+def choose_boundary(histogram: Mapping[int, int], scans: Mapping[int, int], percent: int) -> int:
+    """The size up to which sets are joined by subsets, so that rows for subsets, rows for lists and scans of lists cost least in all.
 
-    ``histogram``: number of sets of each size up to about 4/3 of ``SMALL_AT_MOST``. Sets a little below the boundary
-    also go into the lists, for their larger partners' sake.
+    ``histogram``: number of sets of each size up to about 4/3 of ``SMALL_AT_MOST``; ``scans``: for each of those sizes,
+    how many rows there are in all in the lists that its sets are in, each counted once for every set that scans it.
+    Sets a little below the boundary also go into the lists, for their larger partners' sake.
     """
-    listed = {n: k * (prefix_length(n, percent) + SHIPPED * n) for n, k in histogram.items()}
+    listed = {n: k * (prefix_length(n, percent) + SHIPPED * n) + SCANNED * scans.get(n, 0) for n, k in histogram.items()}
     subsets = {n: k * n_subsets(n, percent) for n, k in histogram.items() if n <= SMALL_AT_MOST}
 
     def cost(boundary: int) -> float:
@@ -80,16 +89,15 @@ def choose_boundary(histogram: Mapping[int, int], percent: int) -> int:
     return min(range(SMALL_AT_MOST + 1), key=cost)
 
 
-def subset_keys(elements: np.ndarray, percent: int) -> list[int]:
-    """Signed 64-bit keys of (size, partner's size, subset) for every subset that a linked partner might share."""
+def subset_keys(elements: np.ndarray, percent: int) -> list[bytes]:
+    """A 128-bit hash of (size, partner's size, subset) for every subset that a linked partner might share."""
     n, keys = len(elements), []
-    items = elements.tolist()
+    items = [x.tobytes() for x in elements]
     for b in partner_sizes(n, percent):
         c = overlap(n, b, percent)
-        head = b"%d %d" % (min(n, b), max(n, b))
+        head = b"%d %d " % (min(n, b), max(n, b))
         if c <= min(n, b):
-            for chosen in itertools.combinations(items, c):
-                keys.append(xxhash.xxh3_64_intdigest(head + np.array(chosen, np.uint64).tobytes()) - (1 << 63))
+            keys += [xxhash.xxh3_128_digest(head + b"".join(chosen)) for chosen in itertools.combinations(items, c)]
     return keys
 
 
@@ -150,36 +158,48 @@ def local_forest(ids: np.ndarray, sizes: np.ndarray, elements: np.ndarray, side:
     return sorted({(int(ids[x]), smallest[root(x)]) for x in range(n) if int(ids[x]) != smallest[root(x)]})
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """``id``, ``n`` and a 128-bit digest of each set; of small ones the ``elements`` too."""
+def _sets(docs: DataFrame, percent: int) -> DataFrame:
+    """``id``, ``n``, a 128-bit digest and the ``prefix`` of each set; of small ones the ``elements`` too."""
+    names = ["id", "n", "h1", "h2", "prefix", "elements"]
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler()
         for frame in frames:
-            rows = []
+            rows, held = [], 0
             for key, text in zip(frame["id"], frame["text"], strict=True):
-                s = shingle(text)
+                s = shingles(text)
                 sums = np.array([s.sum(dtype=np.uint64), mixed(s + np.uint64(1)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
-                rows.append((key, len(s), int(sums[0]), int(sums[1]), s.tobytes() if len(s) <= SMALL_AT_MOST else None))
-            yield pd.DataFrame(rows, columns=["id", "n", "h1", "h2", "elements"])
+                prefix = s[: prefix_length(len(s), percent)].view(np.int64)
+                rows.append((key, len(s), int(sums[0]), int(sums[1]), prefix, s.tobytes() if len(s) <= SMALL_AT_MOST else None))
+                held += len(prefix)
+                if held > HELD_HASHES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
-    return docs.mapInPandas(digest, "id string, n long, h1 long, h2 long, elements binary").withColumn("id", F.col("id").cast("long"))
+    schema = "id string, n long, h1 long, h2 long, prefix array<long>, elements binary"
+    return docs.mapInPandas(digest, schema).withColumn("id", F.col("id").cast("long"))
 
 
-def _small_edges(small: DataFrame, percent: int) -> DataFrame:
-    """Links among small sets. A key names two sizes: all its sets are linked if both occur, or for equal sizes any two."""
+def _subsets(small: DataFrame, percent: int) -> DataFrame:
+    """``id``, ``n``, ``key`` of each subset of each small set, and ``equal``: whether the key is for partners of the same size."""
 
     def enumerate_subsets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [np.frombuffer(e, np.uint64) for e in frame["elements"]]
-            keys = [np.array(subset_keys(s, percent), np.int64) for s in sets]
-            yield pd.DataFrame({"id": frame["id"], "n": [len(s) for s in sets], "equal": [np.array(_equal_keys(len(s), percent), bool) for s in sets], "keys": keys})
+            for a in range(0, len(frame), 500):
+                part = frame.iloc[a : a + 500]
+                sets = [np.frombuffer(e, np.uint64) for e in part["elements"]]
+                keys = [subset_keys(s, percent) for s in sets]
+                yield pd.DataFrame({"id": part["id"], "n": [len(s) for s in sets], "equal": [_equal_keys(len(s), percent) for s in sets], "keys": keys})
+
+    rows = small.select("id", "elements").mapInPandas(enumerate_subsets, "id long, n long, equal array<boolean>, keys array<binary>")
+    return rows.select("id", "n", F.explode(F.arrays_zip("keys", "equal")).alias("k")).select("id", "n", F.col("k.keys").alias("key"), F.col("k.equal").alias("equal"))
 
-    rows = small.select("id", "elements").mapInPandas(enumerate_subsets, "id long, n long, equal array<boolean>, keys array<long>")
-    rows = rows.select("id", "n", F.explode(F.arrays_zip("keys", "equal")).alias("k")).select("id", "n", F.col("k.keys").alias("key"), F.col("k.equal").alias("equal"))
-    per_key = Window.partitionBy("key")
-    joined = rows.select("id", "equal", F.min("id").over(per_key).alias("first"), (F.min("n").over(per_key) < F.max("n").over(per_key)).alias("both"))
-    return joined.where("first <> id and (equal or both)").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+
+def _small_edges(small: DataFrame, percent: int) -> DataFrame:
+    """Links among small sets. A key names two sizes: all its sets are linked if both occur, or for equal sizes any two."""
+    rows = written(_subsets(small, percent))
+    shared = rows.groupBy("key").agg(F.min("id").alias("first"), (F.min("n") < F.max("n")).alias("both"), F.count("*").alias("k")).where("k > 1")
+    return rows.join(shared, "key").where("first <> id and (equal or both)").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
 
 
 def _equal_keys(n: int, percent: int) -> list[bool]:
@@ -187,117 +207,141 @@ def _equal_keys(n: int, percent: int) -> list[bool]:
     return [b == n for b in partner_sizes(n, percent) if (c := overlap(n, b, percent)) <= min(n, b) for _ in range(math.comb(n, c))]
 
 
-def _prefix_rows(docs: DataFrame, least: int, percent: int) -> DataFrame:
-    """``id``, ``t`` and each of the hashes in the prefix of a set of at least ``least``."""
-
-    def smallest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler()
-        for frame in frames:
-            for a in range(0, len(frame), 1000):
-                part = frame.iloc[a : a + 1000]
-                sets = [(i, s) for i, t in zip(part["id"], part["text"], strict=True) if len(s := shingle(t)) >= least]
-                if not sets:
-                    continue
-                yield pd.DataFrame(
-                    {
-                        "id": np.array([i for i, _ in sets], np.int64),
-                        "t": np.array([slack(len(s)) for _, s in sets], np.int32),
-                        "hashes": [s[: prefix_length(len(s), percent)].view(np.int64) for _, s in sets],
-                    }
-                )
-
-    rows = docs.mapInPandas(smallest, "id long, t int, hashes array<long>")
-    return rows.select("id", "t", F.explode("hashes").alias("hash"))
-
-
-def _meetings(rows: DataFrame) -> DataFrame:
-    """Edges between sets that may be linked: stars within the lists of the rarest hashes of each set that is left."""
-    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("hash"))).where("df > 1")
-    hits = counted.groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("hits"))
-    kept = hits.where(F.size("hits") >= F.col("t")).select("id", F.explode(F.slice("hits", F.lit(1), F.size("hits") - F.col("t") + 1)).alias("h"))
-    stars = kept.select("id", F.min("id").over(Window.partitionBy("h.hash")).alias("first"))
-    return stars.where("first <> id").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-
-
-def _with(docs: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
-    return docs.join(sized(keys, n_keys), "id")
+def _boundary(sets: DataFrame, percent: int) -> int:
+    """The boundary for these sets, from counts of the small ones: at most one row a size reaches the driver."""
+    small = sets.where(F.col("n").between(1, partner_sizes(SMALL_AT_MOST, percent)[-1]))
+    histogram = {r["n"]: r["k"] for r in small.groupBy("n").agg(F.count("*").alias("k")).collect()}
+    if not histogram:
+        return 0
+    per_size = small.select("n", F.explode("prefix").alias("hash")).groupBy("hash", "n").agg(F.count("*").alias("k"))
+    listed = per_size.withColumn("df", F.sum("k").over(Window.partitionBy("hash")))  # at most one row a size in a window
+    scans = {r["n"]: r["s"] for r in listed.groupBy("n").agg(F.sum(F.col("k") * (F.col("df") - 1)).alias("s")).collect()}
+    return choose_boundary(histogram, scans, percent)
 
 
-def _verified(docs: DataFrame, blocks: DataFrame, n_blocks: int, percent: int) -> DataFrame:
-    """Edges of a spanning forest of the links within each block. ``blocks``: ``id``, ``block``, ``tiles``."""
+def _meetings(listed: DataFrame) -> DataFrame:
+    """Edges between sets that may be linked: stars within the lists of the rarest hashes of each set that is left."""
+    rows = listed.select("id", F.expr("greatest(1, 12 * n div 100)").alias("t"), F.explode("prefix").alias("hash"))
+    counts = written(rows.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1"))
+    met = joined(rows, counts, counts.count(), "hash")
+    hits = met.groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("hits"))
+    kept = hits.where(F.size("hits") >= F.col("t")).select("id", F.explode(F.slice("hits", F.lit(1), (F.size("hits") - F.col("t") + 1).cast("int"))).alias("h"))
+    kept = written(kept.select("id", F.col("h.hash").alias("hash")))
+    firsts = kept.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    edges = written(kept.join(firsts, "hash").where("first <> id").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
+    remove_written(counts, kept)
+    return edges
+
+
+def _single(df: DataFrame, again: DataFrame, n_again: int) -> DataFrame:
+    """One row for each id, of which ``again`` holds those that several rows have."""
+    if not n_again:
+        return df
+    return without(df, again, n_again, "id").unionByName(joined(df, again, n_again, "id").dropDuplicates(["id"]))
+
+
+def _placed(members: DataFrame, percent: int, tile_shingles: int) -> DataFrame:
+    """``members`` (``id``, ``n``, ``block``) with ``class`` and the numbers of ``tiles`` of that class, of the next (``up``)
+    and of the one before (``down``). Only blocks with more than ``tile_shingles`` shingles are cut; others are class 0."""
+    volume = members.groupBy("block").agg(F.sum("n").alias("volume"))
+    volume = written(volume.where(F.col("volume") > tile_shingles).select("block", F.lit(True).alias("large")))
+    step = math.log(max(100 / percent, 1.05) * 1.0001)  # a little more than linked sizes may differ by
+    cut = F.when(F.col("large"), 1 + F.floor(F.log("n") / step).cast("int")).otherwise(0)
+    dealt = members.join(sized(volume, volume.count()), "block", "left").withColumn("class", cut).drop("large")
+    tiles = written(dealt.groupBy("block", "class").agg(F.ceil(F.sum("n") / tile_shingles).cast("int").alias("tiles")))
+    large = tiles.where("class > 0")
+    k = large.count()
+    own = sized(large, k)
+    up = sized(large.select("block", (F.col("class") - 1).alias("class"), F.col("tiles").alias("up")), k)
+    down = sized(large.select("block", (F.col("class") + 1).alias("class"), F.col("tiles").alias("down")), k)
+    placed = dealt.join(own, ["block", "class"], "left").join(up, ["block", "class"], "left").join(down, ["block", "class"], "left")
+    out = written(placed.fillna({"tiles": 1, "up": 0, "down": 0}))
+    remove_written(volume, tiles)
+    return out
+
+
+def _verified(docs: DataFrame, placed: DataFrame, n_placed: int, percent: int) -> DataFrame:
+    """Edges of a spanning forest of the links within each block of :func:`_placed`."""
 
     def ship(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler()
+        names = ["id", "block", "class", "tiles", "up", "down"]
         for frame in frames:
-            for a in range(0, len(frame), 1000):
-                part = frame.iloc[a : a + 1000]
-                sets = [shingle(t).tobytes() for t in part["text"]]
-                yield pd.DataFrame({"id": part["id"], "block": part["block"], "tiles": part["tiles"], "elements": sets})
+            sets, held, begin = [], 0, 0
+            for at, text in enumerate(frame["text"]):
+                sets.append(shingles(text).tobytes())
+                held += len(sets[-1]) // 8
+                if held > HELD_HASHES or at == len(frame) - 1:
+                    yield frame[names].iloc[begin : at + 1].assign(elements=sets)
+                    sets, held, begin = [], 0, at + 1
 
     def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        _, _, across, i, j = key
         sets = [np.frombuffer(e, np.uint64) for e in frame["elements"]]
-        side = frame["tile"].to_numpy() if key[1] != key[2] else None
+        side = frame["side"].to_numpy() if across or i != j else None
         edges = local_forest(frame["id"].to_numpy(), np.array([len(s) for s in sets], np.int64), np.concatenate(sets), side, percent)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    shipped = _with(docs, blocks, n_blocks).mapInPandas(ship, "id long, block long, tiles int, elements binary")
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    placed = shipped.withColumn("tile", tile).withColumn("other", others)
-    placed = placed.select("id", "block", "tile", "elements", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    return placed.groupBy("block", "i", "j").applyInPandas(solve, "a long, b long")
+    def pairs(n: str, make: Callable[[Column], tuple]) -> Column:
+        every = F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(every, lambda x: F.struct(*(c.cast("int").alias(name) for c, name in zip(make(x), ("class", "across", "i", "j", "side"), strict=True))))
+
+    shipped = joined(docs, placed, n_placed, "id").mapInPandas(ship, "id long, block long, class int, tiles int, up int, down int, elements binary")
+    tile, own = F.col("tile"), F.col("class")
+    groups = F.concat(
+        pairs("tiles", lambda x: (own, F.lit(0), F.least(tile, x), F.greatest(tile, x), tile)),
+        pairs("up", lambda x: (own, F.lit(1), tile, x, F.lit(0))),
+        pairs("down", lambda x: (own - 1, F.lit(1), x, tile, F.lit(1))),
+    )
+    sent = shipped.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("id", "block", "elements", F.explode(groups).alias("g"))
+    sent = sent.select("id", "block", "elements", "g.*")
+    return sent.groupBy("block", "class", "across", "i", "j").applyInPandas(solve, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``component_id`` for every row of ``docs``.
+    """``id_col``, ``n_shingles`` and ``component_id`` for every row of ``docs``, as a stored table.
 
     Two documents are linked when 100 * |common shingles| >= ``percent`` * |all their shingles|; ``component_id`` is
     the smallest id that links lead to, the document's own included. A null or empty text, or one of white space
     alone, has no shingles and no links. ``id_col`` must be an integer that names a text; rows that repeat an id
-    with its text get equal results. Rows with a null id get a null component. Other columns are ignored.
-    ``percent`` may be 75 or more.
+    with its text get equal results. Rows with a null id get a null component. Other columns are ignored; an empty
+    table gives no rows. ``percent`` may be 75 or more.
     """
     if not 75 <= percent <= 100:
         raise ValueError("percent must be from 75 to 100")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(_sets(texts.withColumn("id", F.col("id").cast("string"))))  # pandas would turn nulls into floats
-    same = written(
-        sets.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    )
-    n_same = same.count()
-    folded = sets.join(sized(same, n_same), ["h1", "h2", "n"], "left")
-    copies = written(folded.where("first < id").select("id"))
-    texts = texts.where("id is not null").join(sized(copies, copies.count()), "id", "left_anti")
-
-    most = partner_sizes(SMALL_AT_MOST, percent)[-1]
-    histogram = {r["n"]: r["k"] for r in sets.where(F.col("n").between(1, most)).groupBy("n").agg(F.count("*").alias("k")).collect()}
-    boundary = choose_boundary(histogram, percent)
-
-    small = folded.where(F.col("n").between(1, boundary) & (F.col("first").isNull() | (F.col("first") == F.col("id"))))
+    sets = written(_sets(texts.withColumn("id", F.col("id").cast("string")), percent))  # pandas would turn nulls into floats
+    named = sets.where("n > 0 and id is not null")
+    same = written(named.groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"))
+    folded = sets.select("id", "n", "h1", "h2").join(sized(same, same.count()), ["h1", "h2", "n"], "left").select("id", "n", "first")
+    copies = written(folded.where("first < id").select("id").distinct())
+    again = written(named.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"))
+    n_again = again.count()
+    once = _single(without(named, copies, copies.count(), "id"), again, n_again)
+
+    boundary = _boundary(once, percent)
     least = max(1, -(-percent * (boundary + 1) // 100))
-
-    meetings = components(_meetings(_prefix_rows(texts, least, percent)))
+    edges = _meetings(once.where(F.col("n") >= least))
+    meetings = components(edges)
     members = meetings.select("id", F.col("component").alias("block")).unionByName(
         meetings.select(F.col("component").alias("id"), F.col("component").alias("block")).distinct()
     )
-    sizes = sets.select("id", "n").distinct()
-    volume = members.join(sizes, "id").groupBy("block").agg(F.sum("n").alias("volume"))
-    volume = written(volume.select("block", F.ceil(F.col("volume") / tile_shingles).cast("int").alias("tiles")))
-    blocks = written(members.join(sized(volume, volume.count()), "block"))
-    links = _verified(texts, blocks, blocks.count(), percent)
+    placed = _placed(members.join(sets.select("id", "n").distinct(), "id"), percent, tile_shingles)
+    links = _verified(_single(texts, again, n_again), placed, placed.count(), percent)
     if boundary:
-        links = links.unionByName(_small_edges(small, percent))
+        links = links.unionByName(_small_edges(once.where(F.col("n") <= boundary), percent))
     groups = components(links)
-    remove_written(meetings, volume, blocks)
     first = F.when(F.col("id").isNotNull(), F.coalesce(F.col("first"), F.col("id")))
     by_first = folded.select(F.col("id").alias("__id"), F.col("n").alias("n_shingles"), first.alias("id"))
-    return by_first.join(sized(groups, groups.count()), "id", "left").select(
+    found = by_first.join(sized(groups, groups.count()), "id", "left").select(
         F.col("__id").alias(id_col), "n_shingles", F.coalesce("component", F.col("id")).alias("component_id")
     )
+    out = written(found)
+    remove_written(sets, same, copies, again, edges, meetings, placed, groups)
+    return out
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` of one document in each component, the one whose id names it; rows with a null id stay."""
     groups = jaccard_components(docs, id_col, text_col, percent=percent)
     dropped = written(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    return docs.join(sized(dropped, dropped.count()), id_col, "left_anti").select(*docs.columns)
+    return without(docs, dropped, dropped.count(), id_col).select(*docs.columns)

@@ -3,18 +3,21 @@
 Lengths are whole numbers up to the capacity, so the decreasing order is a histogram with at most ``capacity`` entries,
 and open sequences differ only in what room they have left. The driver plays best-fit decreasing over that histogram:
 a segment tree over the remaining capacities finds the tightest open sequence, and all pieces of one length that go to
-sequences with the same room are placed in one step. What comes out is a short table of rank ranges. Pieces get their
-ranks and look up their places on the executors; no task sees more than its share of any length.
+sequences with the same room are placed in one step. What comes out is a short table of rank ranges. The task that cuts
+a piece also numbers it among its own pieces of that length; shifted by what other tasks have, that is the piece's rank,
+by which it looks up its place. So no length, however common, is a group that anything gathers.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +25,8 @@ from quern.llm.common import sized, written
 from quern.llm.tokenize import PackedEncoder
 
 CAPACITY = 2048
-#: Rows of one length among which ranks are counted one by one.
-RANKED_TOGETHER = 2_000
+#: Bytes of ids after which a task hands on the pieces it has cut.
+HELD_BYTES = 16 << 20
 
 _PLAN_SCHEMA = "length int, from_rank long, to_rank long, first_sequence long, per_sequence int, offset int"
 
@@ -112,62 +115,65 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A document's ids are its text's, and then ``end_id``. More than ``capacity`` are cut into pieces of ``capacity``
     ids, of which the first may be shorter. A null text counts as empty: one piece of one id. Repeated rows are
-    separate documents. Other columns are ignored.
+    separate documents. Other columns are ignored. An empty table gives no rows. The columns ``task`` and ``task_rank``
+    number the pieces of each length within the task that cut them; :func:`pack` needs them.
     """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end = PackedEncoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        context = TaskContext.get()
+        task, ranks = context.partitionId() if context else 0, Counter()
+        names = ["id", "piece", "start", "length", "ids_crc32", "task", "task_rank", *(["ids"] if with_ids else [])]
         for frame in frames:
-            rows = []
+            rows, held = [], 0
             for key, text in zip(frame["id"], frame["text"], strict=True):
                 packed = encoder(text or "") + end
                 n, start = len(packed) // 4, 0
                 stop = n % capacity or capacity
                 for piece in range(-(-n // capacity)):
                     ids = packed[4 * start : 4 * stop]
-                    rows.append((key, piece, start, len(ids) // 4, zlib.crc32(ids), *([ids] if with_ids else [])))
+                    length = len(ids) // 4
+                    rows.append((key, piece, start, length, zlib.crc32(ids), task, ranks[length], *([ids] if with_ids else [])))
+                    ranks[length] += 1
                     start, stop = stop, stop + capacity
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+                held += len(packed)
+                if held > HELD_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     key_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {key_type}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    keys = F.col(id_col).cast("string") if key_type in ("bigint", "int") else F.col(id_col)  # pandas would turn nulls into floats
-    out = docs.select(keys.alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, schema.replace(f"id {key_type}", "id string", 1) if key_type in ("bigint", "int") else schema)
+    whole = key_type in ("bigint", "int")
+    keys = F.col(id_col).cast("string") if whole else F.col(id_col)  # pandas would turn nulls into floats
+    schema = f"id {'string' if whole else key_type}, piece int, start long, length long, ids_crc32 long, task int, task_rank long" + (", ids binary" if with_ids else "")
+    out = docs.select(keys.alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, schema)
     return out.withColumn("id", F.col("id").cast(key_type)).withColumnRenamed("id", id_col)
 
 
-def ranked(pieces: DataFrame, counts: Mapping[int, int], keys: list[str]) -> DataFrame:
-    """``pieces`` with ``rank``: 0, 1, 2... within each length, in no particular order.
+def ranked(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``rank`` in place of ``task`` and ``task_rank``: 0, 1, 2... within each length, in no particular order.
 
-    The pieces of a length are dealt by hash into shares of about ``RANKED_TOGETHER`` rows. Ranks are counted within a
-    share and shifted by the counts of the shares before, so a length that most pieces have is no single group.
-    ``counts`` has at most one entry for each length up to the capacity.
+    What is shifted by is one row for each task and length. Few such rows are broadcast, and the pieces stay where they
+    are; more are joined by shuffling, and as no task has more of a length than it cut, without a hot key.
     """
-    spark = pieces.sparkSession
-    shares = spark.createDataFrame([(n, -(-k // RANKED_TOGETHER)) for n, k in counts.items()], "length long, __shares long")
-    dealt = pieces.join(F.broadcast(shares), "length").withColumn("__share", F.pmod(F.xxhash64(*keys), F.col("__shares"))).drop("__shares")
-    sizes = dealt.groupBy("length", "__share").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("length").orderBy("__share").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("length", "__share", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    within = Window.partitionBy("length", "__share").orderBy(*keys)
-    numbered = dealt.withColumn("__row", F.row_number().over(within))
-    n_shifts = sum(-(-k // RANKED_TOGETHER) for k in counts.values())
-    return numbered.join(sized(shifts, n_shifts), ["length", "__share"]).withColumn("rank", F.col("__shift") + F.col("__row") - 1).drop("__share", "__shift", "__row")
-
-
-def pack(pieces: DataFrame, keys: list[str], *, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (with an integer ``length`` from 1 to ``capacity``) and where each goes: ``sequence_id`` and ``offset``.
-
-    ``keys`` name columns that tell pieces apart; pieces alike in all of them are interchangeable. ``pieces`` is read
-    three times and should be a stored table. Sequences are filled from 0 without gaps; an empty table gives no rows.
+    counts = pieces.groupBy("length", "task").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = written(counts.select("length", "task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift")))
+    joined = pieces.join(sized(shifts, shifts.count()), ["length", "task"])
+    return joined.withColumn("rank", F.col("__shift") + F.col("task_rank")).drop("__shift", "task", "task_rank")
+
+
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` (a stored table of :func:`token_pieces`) and where each goes: ``sequence_id`` and ``offset``.
+
+    Sequences are filled from offset 0 without gaps. The driver gets one count for each length. An empty table gives no rows.
     """
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan, _ = best_fit_decreasing(counts, capacity)
     table = pieces.sparkSession.createDataFrame([(p.length, p.from_rank, p.to_rank, p.first_sequence, p.per_sequence, p.offset) for p in plan], _PLAN_SCHEMA)
-    names = pieces.columns
+    names = [c for c in pieces.columns if c not in ("task", "task_rank")]
     place = F.broadcast(table.withColumnsRenamed({c: f"__{c}" for c in table.columns}))
-    row = ranked(pieces, counts, keys)
-    found = row.join(place, (F.col("length") == F.col("__length")) & (F.col("rank") >= F.col("__from_rank")) & (F.col("rank") < F.col("__to_rank")))
+    found = ranked(pieces).join(place, (F.col("length") == F.col("__length")) & (F.col("rank") >= F.col("__from_rank")) & (F.col("rank") < F.col("__to_rank")))
     step = F.col("rank") - F.col("__from_rank")
     return found.select(
         *names,
@@ -178,8 +184,7 @@ def pack(pieces: DataFrame, keys: list[str], *, capacity: int = CAPACITY) -> Dat
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their places; the tokenizer runs once, its result is a table in the shared folder."""
-    pieces = written(token_pieces(docs, id_col, text_col, tokenizer_file=tokenizer_file, capacity=capacity, with_ids=with_ids))
-    return pack(pieces, [id_col, "piece", "start", "ids_crc32"], capacity=capacity)
+    return pack(written(token_pieces(docs, id_col, text_col, tokenizer_file=tokenizer_file, capacity=capacity, with_ids=with_ids)), capacity=capacity)
 
 
 def assemble(packed: DataFrame) -> DataFrame:

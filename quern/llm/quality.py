@@ -1,14 +1,16 @@
-"""Text quality by supervised subword embeddings (Joulin et al. 2016): hashed vectors of words and character n-grams
-are averaged over a document and go through a softmax; all of it is learned by stochastic gradient descent in numpy.
+"""Text quality by supervised subword embeddings (Joulin et al. 2016): hashed vectors of words, pairs of words and
+character n-grams are averaged over a document and go through a softmax, all learned by stochastic gradient descent in numpy.
 
-The model is linear in the averaged vectors, so for scoring each bucket shrinks to one number: what its vector adds to
-the difference of the two logits. A document's score is then the mean over its features.
+The hash of a pair is the exclusive or of its words' hashes, so all words that follow themselves share one vector, from
+which the model can learn what repetition says. Buckets that no training text reached have no vector. The model is
+linear in the averaged vectors, so for scoring each bucket shrinks to one number: what its vector adds to the difference
+of the two logits. A document's score is then the mean over its features.
 """
 
 from __future__ import annotations
 
 import math
-import operator
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -19,60 +21,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from quern.llm.common import worker_table
+from quern.llm.common import KEPT_BYTES, worker_table
 from quern.llm.samples import labelled_sample, remainder
 
-BITS = 17
+BITS = 18
 BUCKETS = 1 << BITS
 #: Fixed-point steps of a gain, so that sums do not depend on their order.
 STEPS = 1 << 24
-#: Stands for a token that repeats what is before it.
-REPEATED = "\x00same"
-#: Tokens whose gains a worker keeps; the table is emptied when full.
-KEPT_TOKENS = 300_000
 #: Characters of text that are scored together.
 TOGETHER = 2_000_000
 
 
-def tokens(text: str) -> list[str]:
-    """Parts between white space, with a mark in place of repetition: of a part that repeats the two before it, and of any
-    that repeats the one before it where a quarter of all parts do."""
-    parts = text.split()
-    again = bytes(map(operator.eq, parts, parts[1:]))
-    if 4 * again.count(1) >= max(8, len(parts)):
-        return parts[:1] + [REPEATED if same else p for same, p in zip(again, parts[1:], strict=True)]
-    if b"\x01\x01" not in again:
-        return parts
-    return [REPEATED if a == b == c else c for a, b, c in zip([None, None, *parts], [None, *parts], parts, strict=False)]
+def word_hashes(parts: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(p.encode()) for p in parts], np.uint32)
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    """Buckets of 32-bit hashes."""
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x9E3779B1)
+    return (x >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of every feature of the given tokens, and which token it belongs to.
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Of each word with the next one, in either order."""
+    return spread((hashes[1:] ^ hashes[:-1]) * np.uint32(0x85EBCA77) + np.uint32(0x27D4EB2F))
 
-    Features are the token itself and its runs of 3 and of 4 bytes, a space standing at either end.
+
+def features(parts: list[str], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every feature that a token has by itself, and which token it belongs to.
+
+    These are the token and its runs of 3 and of 4 characters, a space standing at either end.
     """
-    raw = np.frombuffer(f" {' '.join(parts)} ".encode(), np.uint8)
-    space = raw == 32
+    x = np.frombuffer(f" {' '.join(parts)} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    space = x == 32
     owner = np.cumsum(space) - 1
-    x = raw.astype(np.uint32)
     three = x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)
     four = three[:-1] * np.uint32(0x27D4EB2F) + x[3:] * np.uint32(0x165667B1)
     inner = ~space
     keep_three, keep_four = inner[1:-1], inner[1:-2] & inner[2:-1]
-    runs = np.concatenate([three[keep_three], four[keep_four]])
-    runs ^= runs >> np.uint32(15)
-    whole = np.array([zlib.crc32(p.encode()) for p in parts], np.uint32)
-    ids = np.concatenate([whole, runs * np.uint32(0x9E3779B1)]) >> np.uint32(32 - BITS)
+    ids = np.concatenate([spread(hashes), spread(three[keep_three]), spread(four[keep_four])])
     owners = np.concatenate([np.arange(len(parts)), owner[:-2][keep_three], owner[:-3][keep_four]])
-    return ids.astype(np.int64), owners
+    return ids, owners
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct buckets of a text and their shares among its features."""
-    parts = tokens(text)
-    ids = features(parts)[0] if parts else np.zeros(0, np.int64)
+    parts = text.split()
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    hashes = word_hashes(parts)
+    ids = np.concatenate([features(parts, hashes)[0], pair_buckets(hashes)])
     distinct, counts = np.unique(ids, return_counts=True)
-    return distinct.astype(np.int32), (counts / max(1, len(ids))).astype(np.float32)
+    return distinct.astype(np.int32), (counts / len(ids)).astype(np.float32)
 
 
 @dataclass(eq=False)
@@ -81,40 +81,60 @@ class Model:
     bias: float
     two_classes: bool = True  # false where all texts get one score, for want of labels of both classes
 
+    @property
+    def key(self) -> tuple:
+        return "quality", self.bias, zlib.crc32(self.gain.tobytes())
+
     def score_all(self, texts: list[str]) -> list[float]:
-        return worker_table(("quality", self), lambda: _scorer(self))(texts)
+        return worker_table(self.key, lambda: _Scorer(self))(texts)
 
     def scorer(self) -> Callable[[str], float]:
         return lambda text: self.score_all([text])[0]
 
 
-def _scorer(model: Model) -> Callable[[list[str]], list[float]]:
-    """Scores of texts; keeps for each token the sum of its features' gains and their number as one complex number,
-    so that a text takes one sum over its tokens."""
-    gain = np.rint(model.gain.astype(np.float64) * STEPS)
-    kept: dict[str, complex] = {}
-
-    def learn(new: list[str]) -> None:
-        ids, owners = features(new)
-        sums = np.bincount(owners, gain[ids], len(new)) + 1j * np.bincount(owners, minlength=len(new))
-        kept.update(zip(new, sums.tolist(), strict=True))
-
-    def score(texts: list[str]) -> list[float]:
-        split = [tokens(t) for t in texts]
-        new = set().union(*split) - kept.keys()
-        if len(kept) + len(new) > KEPT_TOKENS:
-            kept.clear()
-            new = set().union(*split)
+class _Scorer:
+    """Scores of texts. For each token it keeps the sum of its own features' gains, their number and its hash, in arrays
+    that a text's tokens pick from; only pairs are looked up anew."""
+
+    def __init__(self, model: Model):
+        self.bias = model.bias
+        self.gain = np.rint(model.gain.astype(np.float64) * STEPS)
+        self._start()
+
+    def _start(self) -> None:
+        self.place: dict[str, int] = {}
+        self.sums, self.counts, self.hashes = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.room = KEPT_BYTES
+
+    def _learn(self, new: list[str]) -> None:
+        hashes = word_hashes(new)
+        ids, owners = features(new, hashes)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.sums = np.concatenate([self.sums, np.bincount(owners, self.gain[ids], len(new))])
+        self.counts = np.concatenate([self.counts, np.bincount(owners, minlength=len(new))])
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.room -= sum(map(sys.getsizeof, new)) + 150 * len(new)
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        """``texts`` have about ``TOGETHER`` characters in all, or are one text."""
+        split = [t.split() for t in texts]
+        distinct = set().union(*split)
+        new = distinct - self.place.keys()
+        if self.room < 0:
+            self._start()
+            new = distinct
         if new:
-            learn(list(new))
-        out = []
-        for parts in split:
-            total = sum(map(kept.__getitem__, parts), 0j)
-            z = model.bias + (total.real / STEPS / total.imag if total.imag else 0.0)
-            out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))))
-        return out
-
-    return score
+            self._learn(list(new))
+        sizes = np.array([len(parts) for parts in split])
+        at = np.fromiter((self.place[p] for parts in split for p in parts), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        total = np.bincount(owner, self.sums[at], len(texts))
+        number = np.bincount(owner, self.counts[at], len(texts))
+        within = owner[1:] == owner[:-1]
+        total += np.bincount(owner[1:][within], self.gain[pair_buckets(self.hashes[at])[within]], len(texts))
+        number += np.bincount(owner[1:][within], minlength=len(texts))
+        z = self.bias + total / STEPS / np.maximum(number, 1)
+        return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
 def together(texts: pd.Series) -> Iterator[list[str]]:
@@ -159,7 +179,11 @@ def fit(texts: list[str], labels: list[int], *, dim: int = 8, epochs: int = 5, r
             output -= now * np.outer(p, hidden)
             bias -= now * np.float32(0.1) * p
             vectors[ids] -= (now * share * len(share) ** 0.5)[:, None] * back
-    return Model((vectors @ (output[1] - output[0])).astype(np.float32), float(bias[1] - bias[0]))
+    reached = np.zeros(BUCKETS, bool)
+    for ids, _ in bags:
+        reached[ids] = True
+    gain = np.where(reached, vectors @ (output[1] - output[0]), 0)
+    return Model(gain.astype(np.float32), float(bias[1] - bias[0]))
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 4_000, max_chars: int = 16_000_000) -> Model:
@@ -174,13 +198,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     Only the whole text is scored; null counts as empty and gets the model's bias. Repeated rows get equal scores;
     columns of ``docs`` with the names of the new ones are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     @pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value
         for texts in batches:
-            yield pd.Series([s for part in together(texts) for s in own.score_all(part)], dtype="float64")
+            yield pd.Series([s for part in together(texts) for s in model.score_all(part)], dtype="float64")
 
     return docs.withColumn("score", scores(F.col(text_col))).withColumns(
         {"predicted": (F.col("score") >= threshold).cast("int"), "held_out": remainder(id_col, 4) == 2}

@@ -6,8 +6,6 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-#: Words whose hashes a worker keeps; the table is emptied when full.
-KEPT_WORDS = 300_000
 #: Odd multipliers, one for each place in a shingle.
 _PLACES = np.array([xxhash.xxh3_64_intdigest(b"place %d" % i) | 1 for i in range(WIDTH)], dtype=np.uint64)
 
@@ -21,35 +19,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Shingler:
-    """Distinct shingles of ``WIDTH`` words of a text; with fewer words the whole sequence is the only one.
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of ``WIDTH`` words of a text; with fewer words the whole sequence is the only one.
 
     Words are what stands between ASCII white space, with A-Z lower-cased: ``bytes.lower`` and ``bytes.split``.
     """
-
-    def __init__(self) -> None:
-        self.kept: dict[bytes, bytes] = {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        kept = self.kept
-        try:
-            found = [kept[w] for w in words]
-        except KeyError:
-            if len(kept) >= KEPT_WORDS:
-                kept.clear()
-            found = [kept.get(w) or kept.setdefault(w, xxhash.xxh3_64_digest(w)) for w in words]
-        return np.frombuffer(b"".join(found), dtype=np.uint64)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(words) < WIDTH:
-            whole = b" ".join(words)
-            return np.array([xxhash.xxh3_64_intdigest(b"%d " % len(words) + whole)], dtype=np.uint64)
-        h = self.hashes(words)
-        n = len(h) - WIDTH + 1
-        total = h[:n] * _PLACES[0]
-        for i in range(1, WIDTH):
-            total += h[i : i + n] * _PLACES[i]
-        return np.unique(mixed(total))
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < WIDTH:
+        return np.array([xxhash.xxh3_64_intdigest(b"%d " % len(words) + b" ".join(words))], dtype=np.uint64)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=np.uint64)
+    n = len(h) - WIDTH + 1
+    total = h[:n] * _PLACES[0]
+    for i in range(1, WIDTH):
+        total += h[i : i + n] * _PLACES[i]
+    return np.unique(mixed(total))

@@ -7,19 +7,16 @@ The file's added tokens, such as the end of a text, are taken out of a text firs
 
 from __future__ import annotations
 
-import functools
+import json
 import os
+import struct
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from quern.llm.common import worker_table
+from quern.llm.common import KEPT_BYTES, Kept, worker_table
 
-#: Parts a worker keeps; the table is emptied when full.
-KEPT_PARTS = 900_000
-#: Characters from which a part is not kept.
-KEPT_CHARS = 100
 #: Fixed value: how byte-level files split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MATCH = regex.compile(PATTERN)
@@ -35,48 +32,63 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-@functools.cache
 def tokenizer(path: str) -> Tokenizer:
-    """One per Python worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a worker a core
     return Tokenizer.from_file(path)
 
 
-class _Parts(dict):
-    """Packed ids of each part that follows a space, by the part; worked out when first asked for."""
+def splits_by_pattern(library: Tokenizer) -> bool:
+    """Whether the file splits texts by ``PATTERN`` into bytes and merges each match by itself, so that matches can be encoded apart."""
+    file = json.loads(library.to_str())
+    split, model = file["pre_tokenizer"] or {}, file["model"]
+    return (
+        file["normalizer"] is None
+        and file["truncation"] is None
+        and file["padding"] is None
+        and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
+        and model["type"] == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    )
+
+
+class _Parts:
+    """Packed ids of the parts of texts, kept by the part."""
 
     def __init__(self, path: str):
-        self.model = tokenizer(path).model
-        self.alphabet = byte_alphabet()
-        self.of_match = functools.lru_cache(maxsize=30_000)(self._encode)
+        self.library = tokenizer(path)
+        self.apart = splits_by_pattern(self.library)
+        self.model, self.alphabet = self.library.model, byte_alphabet()
+        self.of_match = Kept(self._encode, KEPT_BYTES // 8)
+        self.after_space = Kept(self._after_space)
 
     def _encode(self, match: str) -> bytes:
-        tokens = self.model.tokenize(match.encode().decode("latin-1").translate(self.alphabet))
-        return np.array([t.id for t in tokens], "<u4").tobytes()
+        return self._packed(match.encode().decode("latin-1").translate(self.alphabet))
+
+    def _packed(self, written: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def of_text(self, text: str) -> bytes:
-        matches = _MATCH.findall(text)
-        return b"".join([self[m[1:]] if m[0] == " " and m[1:].isalpha() else self.of_match(m) for m in matches])
+        after_space, of_match = self.after_space, self.of_match
+        return b"".join([after_space[m[1:]] if m[0] == " " and m[1:].isalpha() else of_match[m] for m in _MATCH.findall(text)])
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self._encode(f" {part}") if part.isalpha() else self.of_text(f" {part}")
-        if len(part) < KEPT_CHARS:
-            if len(self) >= KEPT_PARTS:
-                self.clear()
-            self[part] = ids
-        return ids
+    def _after_space(self, part: str) -> bytes:
+        if not part.isalpha():
+            return self.of_text(f" {part}")
+        return self._packed(self.alphabet[32] + part) if part.isascii() else self._encode(f" {part}")
 
 
 class PackedEncoder:
-    """Ids of a text as bytes, four to an id, little-endian. Only for files whose splitting is byte-level and without a normaliser.
+    """Ids of a text as bytes, four to an id, little-endian: those of the library without the tokens that it would add around a text.
 
-    They are those of the library without the tokens that it would add around a text. Where an added token takes white
-    space with it or must be a word of its own, or some are matched after others, the library encodes the texts that hold one.
+    Texts are encoded part by part where the file splits them by ``PATTERN``. The library encodes whole texts for other
+    files, and texts that hold an added token where such a token takes white space with it, must be a word of its own, or
+    some are matched after others.
     """
 
     def __init__(self, path: str):
-        self.after_space = worker_table(("parts", path), lambda: _Parts(path))
-        self.library = tokenizer(path)
+        self.parts = worker_table(("parts", path), lambda: _Parts(path))
+        self.library = self.parts.library
         added = self.library.get_added_tokens_decoder()
         self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
         self.plain = len({t.normalized for t in added.values()}) <= 1 and not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
@@ -91,12 +103,17 @@ class PackedEncoder:
         return _SAFE.split(text)
 
     def __call__(self, text: str) -> bytes:
+        if not self.parts.apart:
+            return self._by_library(text)
         if not any(token in text for token in self.added):
             return self.ordinary(text)
         if not self.plain:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._by_library(text)
         return b"".join([self.added[part] if part in self.added else self.ordinary(part) for part in self.between.split(text)])
 
+    def _by_library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def ordinary(self, text: str) -> bytes:
         first, *others = self.split(text)
-        return self.after_space.of_text(first) + b"".join(map(self.after_space.__getitem__, others))
+        return self.parts.of_text(first) + b"".join(map(self.parts.after_space.__getitem__, others))

@@ -7,7 +7,6 @@ so that naming a group does not by itself move a score (counterfactual logit pai
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 import zlib
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from quern.llm.common import worker_table
+from quern.llm.common import Kept, worker_table
 from quern.llm.samples import labelled_sample, remainder
 
 # Terms for groups of people that may stand in for one another, by kind and language.
@@ -41,8 +40,6 @@ IDENTITY_TERMS = (
     ("musulmanes", "cristianos", "judíos", "hindúes"),
 )
 BITS = 20
-#: Tokens whose weighted buckets a worker keeps; the table is emptied when full.
-KEPT_TOKENS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 
@@ -52,7 +49,6 @@ def swaps() -> dict[str, str]:
     return {term: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, term in enumerate(kind)}
 
 
-@functools.lru_cache(maxsize=100_000)
 def buckets(token: str) -> tuple[int, ...]:
     """Of the words in a lower-case token without white space."""
     return tuple(zlib.crc32(word.encode()) & ((1 << BITS) - 1) for word in _WORD.findall(token))
@@ -72,42 +68,37 @@ def counterfactual(text: str, table: dict[str, str]) -> tuple[np.ndarray, np.nda
     return features(before), features(_WORD.sub(lambda m: table.get(m[0], m[0]), before))
 
 
-@dataclass(eq=False)
+@dataclass(frozen=True)
 class Model:
-    weights: np.ndarray  # float32, one a bucket; most are zero
+    """A few thousand weights at most, so it travels with the tasks."""
+
+    weights: dict[int, float]  # of the buckets that have one
     bias: float
 
+    @property
+    def key(self) -> tuple:
+        return "toxicity", self.bias, hash(tuple(sorted(self.weights.items())))
+
     def scorer(self) -> Callable[[str], float]:
         """A function from a text to its score, the same one each time in a process."""
-        return worker_table(("toxicity", self), lambda: _scorer(self))
-
-
-class _Weighted(dict):
-    """For each token, worked out when first asked for, those of its buckets that have a weight."""
-
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
-
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) >= KEPT_TOKENS:
-            self.clear()
-        found = tuple(b for b in buckets(token) if self.weights[b])
-        if len(token) <= 100:
-            self[token] = found
-        return found
+        return worker_table(self.key, lambda: _scorer(self))
 
 
 def _scorer(model: Model) -> Callable[[str], float]:
-    weighted, weights, bias = _Weighted(model.weights), model.weights, model.bias
+    weights, bias = model.weights, model.bias
+    weighted = Kept(lambda token: tuple(b for b in buckets(token) if b in weights))
 
     def score(text: str) -> float:
         hit = set().union(*filter(None, map(weighted.__getitem__, set(text.lower().split()))))
-        z = bias + sum(float(weights[b]) for b in sorted(hit))
-        return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+        return sigmoid(bias + math.fsum(weights[b] for b in hit))
 
     return score
 
 
+def sigmoid(z: float) -> float:
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+
+
 def evidence(with_1: np.ndarray, with_0: np.ndarray, n_1: int, n_0: int) -> np.ndarray:
     """Twice the log-likelihood ratio of a word's documents falling into the classes as they do, against by chance."""
     total = with_1 + with_0
@@ -135,7 +126,7 @@ def fit(
     y = np.asarray(labels, dtype=np.float64)
     positive = y.mean() if len(y) else 0.5
     if positive in (0.0, 1.0) or not len(y):
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log((positive + 1e-3) / (1 - positive + 1e-3))))
+        return Model({}, float(np.log((positive + 1e-3) / (1 - positive + 1e-3))))
     found = [features(t) for t in texts]
     split = [np.bincount(np.concatenate([f for f, v in zip(found, y, strict=True) if v == side]), minlength=1 << BITS) for side in (1, 0)]
     columns = np.flatnonzero(evidence(*split, int(y.sum()), int((1 - y).sum())) >= min_evidence)
@@ -167,9 +158,7 @@ def fit(
         sum_b += error.sum() ** 2
         w -= rate / np.sqrt(sum_w) * grad
         b -= rate / np.sqrt(sum_b) * error.sum()
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[columns] = w
-    return Model(weights, float(b))
+    return Model({k: v for k, v in zip(columns.tolist(), w.tolist(), strict=True) if v}, float(b))
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 8_000, max_chars: int = 32_000_000) -> Model:
@@ -184,11 +173,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     Only the whole text is scored; null counts as empty and gets the model's bias. Repeated rows get equal scores;
     columns of ``docs`` with the names of the new ones are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     @pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value.scorer()
+        own = model.scorer()
         for texts in batches:
             yield texts.map(lambda t: own(t or "")).astype("float64")
 

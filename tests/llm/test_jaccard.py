@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quern.llm import jaccard
 from quern.llm.jaccard import choose_boundary, jaccard_components, local_forest, n_subsets, overlap, partner_sizes, prefix_length, representatives, slack, subset_keys
 from tests.llm import plain
 
@@ -37,9 +38,24 @@ def test_components_are_those_of_all_pairs(spark, tile):
     assert sorted(map(tuple, jaccard_components(docs, tile_shingles=tile).collect())) == plain.jaccard_components(rows)
 
 
-def test_small_sets_alone_are_joined_by_subsets(spark):
+def test_small_sets_around_common_phrases_are_joined_by_subsets(spark):
+    """Thousands of short texts that start alike: scanning their lists costs more than enumerating subsets."""
     random.seed(3)
-    rows = [(i, " ".join(random.choice("abc") for _ in range(random.randint(4, 9)))) for i in range(200)]
+    head = "thank you for the comment on my page".split()
+    rows = [(i, " ".join(head + [random.choice("abcdefghij") for _ in range(random.randint(0, 2))])) for i in range(1500)]
+    rows += [(5000 + i, " ".join(random.choice("abc") for _ in range(random.randint(4, 9)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jaccard._sets(docs.selectExpr("string(doc_id) as id", "text"), 75).where("n > 0").dropDuplicates(["h1", "h2"])
+    hot = jaccard._sets(docs.selectExpr("string(doc_id) as id", "text"), 75).where("n > 0")
+    assert jaccard._boundary(hot, 75) > 2
+    assert jaccard._small_edges(sets, 75).count() > 0
+    assert sorted(map(tuple, jaccard_components(docs).collect())) == plain.jaccard_components(rows)
+
+
+@pytest.mark.parametrize("boundary", [0, 5, 16])
+def test_components_do_not_depend_on_the_boundary(spark, monkeypatch, boundary):
+    rows = corpus(6) + [(1000 + i, " ".join(random.choice("abc") for _ in range(random.randint(4, 20)))) for i in range(200)]
+    monkeypatch.setattr(jaccard, "_boundary", lambda sets, percent: boundary)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, jaccard_components(docs).collect())) == plain.jaccard_components(rows)
 
@@ -48,15 +64,17 @@ def test_subsets_meet_exactly_for_linked_sets():
     random.seed(4)
     for _ in range(300):
         a, b = (set(random.sample(range(12), random.randint(1, 8))) for _ in range(2))
-        keys = [set(subset_keys(np.array(sorted(s), np.uint64), 75)) for s in (a, b)]
-        linked = 100 * len(a & b) >= 75 * len(a | b)
-        assert linked == any(True for _ in keys[0] & keys[1]) or not linked
-        assert len(keys[0]) <= n_subsets(len(a), 75)
+        keys = [subset_keys(np.array(sorted(s), np.uint64), 75) for s in (a, b)]
+        equal = [{k for k, e in zip(ks, jaccard._equal_keys(len(s), 75), strict=True) if e} for ks, s in zip(keys, (a, b), strict=True)]
+        meet = equal[0] & equal[1] if len(a) == len(b) else set(keys[0]) & set(keys[1])
+        assert bool(meet) == (100 * len(a & b) >= 75 * len(a | b))
+        assert len(keys[0]) == n_subsets(len(a), 75)
 
 
 def test_boundary_follows_cost():
-    assert choose_boundary({}, 75) == 0
-    assert choose_boundary({1: 10, 2: 1000, 3: 1000}, 75) >= 2
+    assert choose_boundary({}, {}, 75) == 0
+    assert choose_boundary({1: 10, 2: 1000, 3: 1000}, {}, 75) >= 2
+    assert choose_boundary({5: 1000}, {5: 1000}, 75) < 5 <= choose_boundary({5: 1000}, {5: 1_000_000}, 75)
 
 
 def test_forest_of_a_large_group_has_every_link():

@@ -9,7 +9,8 @@ import public_tokenizers as public
 import pytest
 from tokenizers import Tokenizer
 
-from quern.llm.packing import assemble, best_fit_decreasing, pack, pack_documents, token_pieces
+from quern.llm.common import Kept, written
+from quern.llm.packing import assemble, best_fit_decreasing, pack_documents, ranked, token_pieces
 from quern.llm.tokenize import PackedEncoder, tokenizer
 
 FILE = public.path("byte_bpe_50k.json")
@@ -103,11 +104,38 @@ def test_empty_table(spark):
 
 
 def test_a_length_that_most_pieces_have(spark):
-    pieces = spark.range(25_000).selectExpr("id", "case when id % 10 = 0 then 700L else 1000L end as length")
-    rows = pack(pieces, ["id"]).collect()
+    """Rows alike in everything: what tells them apart is where they were cut."""
+    docs = spark.range(25_000).selectExpr("1L as doc_id", "case when id % 10 = 0 then repeat('a ', 700) else repeat('a ', 1000) end as text")
+    packed = pack_documents(docs.repartition(7), tokenizer_file=FILE)
     room = Counter()
-    for r in rows:
-        room[r["sequence_id"]] += r["length"]
-    assert len(rows) == 25_000 and max(room.values()) <= 2048
-    plan, opened = best_fit_decreasing({700: 2500, 1000: 22_500})
-    assert len(room) == opened
+    for r in packed.collect():
+        room[r["sequence_id"], r["offset"]] += 1
+    assert sum(room.values()) == 25_000 and set(room.values()) == {1}
+    lengths = {r["length"]: r["count"] for r in packed.groupBy("length").count().collect()}
+    assert len({k for k, _ in room}) == best_fit_decreasing(lengths)[1]
+
+
+def test_ranks_are_those_of_all_tasks_together(spark):
+    pieces = written(token_pieces(spark.range(300).selectExpr("id as doc_id", "repeat('a ', int(id % 5)) as text").repartition(6), tokenizer_file=FILE))
+    assert pieces.select("task").distinct().count() > 1
+    for length, rows in ranked(pieces).toPandas().groupby("length"):
+        assert sorted(rows["rank"]) == list(range(len(rows))), length
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}])
+def test_files_that_split_otherwise_go_through_the_library(tmp_path, change):
+    file = tmp_path / "tokenizer.json"
+    file.write_text(json.dumps(json.loads(Path(FILE).read_text()) | change))
+    library, encoder = Tokenizer.from_file(str(file)), PackedEncoder(str(file))
+    for text in ("a b", "e\u0301 is one", "x  y 12"):
+        assert np.frombuffer(encoder(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_what_is_kept_is_bounded():
+    encoder = PackedEncoder(FILE)
+    encoder("x" * 1000 + " " + "y" * 101)
+    assert all(len(k) <= 100 for k in encoder.parts.after_space) and all(len(k) <= 100 for k in encoder.parts.of_match)
+    kept = Kept(lambda key: key.encode(), 10_000)
+    for i in range(20_000):
+        assert kept[f"{i % 997}"] == str(i % 997).encode()
+        assert len(kept) < 80
