@@ -51,8 +51,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents and their places in sequences of 2048 tokens."""
-    return pack_documents(docs, tokenizer_file=public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of the remaining documents with their ids and places in sequences of 2048 tokens; ``packing.assemble`` joins them up."""
+    return pack_documents(docs, tokenizer_file=public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
