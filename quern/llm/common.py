@@ -18,6 +18,9 @@ BROADCAST_ROWS = 500_000
 KEPT_BYTES = 48 << 20
 #: Characters or bytes of a key beyond which its result is not kept.
 KEPT_KEY = 100
+#: Rows in a batch for Python workers, in steps that are computed at once.
+ARROW_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bits of a bitmap of hashes at most: 64 MB.
 BITMAP_BITS = 1 << 29
 #: Bits in each row of a bitmap, as Spark's bitmap functions have it.
@@ -25,10 +28,19 @@ _ROW_BITS = 1 << 15
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, with no lineage, and safe against lost executors."""
+    """``df`` as a Parquet table in the shared folder: computed once, with no lineage, and safe against lost executors.
+
+    While it is computed, Spark hands at most ``ARROW_ROWS`` rows at once to Python workers: texts are long, and each
+    batch is held several times over on either side.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -128,6 +140,11 @@ class Kept(dict):
 _worker_table: dict[Hashable, Any] = {}
 
 
+def forget_tables() -> None:
+    """For tasks that keep nothing: give back what earlier ones have kept in this Python worker."""
+    _worker_table.clear()
+
+
 def worker_table(key: Hashable, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps between tasks: only the table asked for last, so that stages do not add up in memory."""
     if key not in _worker_table:

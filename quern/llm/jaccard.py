@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import joined, remove_written, sized, without, written
+from quern.llm.common import forget_tables, joined, remove_written, sized, without, written
 from quern.llm.components import components
 from quern.llm.shingles import mixed, shingles
 
@@ -163,6 +163,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     names = ["id", "n", "h1", "h2", "prefix", "elements"]
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_tables()
         for frame in frames:
             rows, held = [], 0
             for key, text in zip(frame["id"], frame["text"], strict=True):

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
@@ -192,17 +192,22 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     return fit(sample["text"].tolist(), sample["label"].tolist())
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """All columns of ``docs`` and ``score`` (0 to 1), ``predicted`` (1 if the score reaches ``threshold``), ``held_out``.
+def scores(model: Model, text_col: str) -> Column:
+    """The score of each whole text, 0 to 1; null counts as empty and gets the model's bias."""
 
-    Only the whole text is scored; null counts as empty and gets the model's bias. Repeated rows get equal scores;
-    columns of ``docs`` with the names of the new ones are replaced.
-    """
     @pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([s for part in together(texts) for s in model.score_all(part)], dtype="float64")
 
-    return docs.withColumn("score", scores(F.col(text_col))).withColumns(
+    return of_texts(F.col(text_col))
+
+
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """All columns of ``docs`` and ``score`` (:func:`scores`), ``predicted`` (1 if the score reaches ``threshold``), ``held_out``.
+
+    Repeated rows get equal scores; columns of ``docs`` with the names of the new ones are replaced. An empty table gives no rows.
+    """
+    return docs.withColumn("score", scores(model, text_col)).withColumns(
         {"predicted": (F.col("score") >= threshold).cast("int"), "held_out": remainder(id_col, 4) == 2}
     )

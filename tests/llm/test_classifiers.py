@@ -78,3 +78,55 @@ def test_sample_is_bounded_and_leaves_out_what_is_held_out(spark):
     assert 0 < len(sample) <= 50 and sample["text"].map(len).sum() <= 2000
     assert all(zlib.crc32(str(len(t)).encode()) % 3 != 1 for t in sample["text"])
     assert labelled_sample(docs.limit(0), labels, "toxic", **args).empty
+
+
+def test_an_id_that_fills_the_tables_takes_part_once(spark):
+    docs = spark.range(5000).selectExpr("7L as doc_id", "repeat('a', 1000 + int(id % 50)) as text").unionByName(spark.range(100, 140).selectExpr("id as doc_id", "'short' as text"))
+    labels = spark.range(3000).selectExpr("7L as doc_id", "1 as toxic").unionByName(spark.range(100, 140).selectExpr("id as doc_id", "int(id % 2) as toxic")).unionByName(spark.sql("select 100L as doc_id, 1 as toxic"))
+    sample = labelled_sample(docs, labels, "toxic", modulus=3, held_out=1, max_docs=10, max_chars=2000)
+    assert len(sample) <= 10 and sample["text"].map(len).sum() <= 2000
+    everything = labelled_sample(docs, labels, "toxic", modulus=1000, held_out=1001, max_docs=100, max_chars=2000)
+    assert sorted(everything["text"].map(len).tolist()) == [5] * 39 + [1000]
+
+
+def test_toxicity_scores_are_those_of_a_plain_sum():
+    random.seed(7)
+    texts = [sentence(*(["scum"] if i % 3 == 0 else []), *(["muslims"] if i % 5 == 0 else [])) for i in range(300)]
+    model = toxicity.fit(texts, [int(i % 3 == 0) for i in range(300)])
+    score = model.scorer()
+    for text in [*texts[:40], "", "Scum! scum;scum_x 123", "x" * 5000 + " scum"]:
+        z = model.bias + sum(model.weights.get(int(b), 0.0) for b in toxicity.features(text))
+        assert abs(score(text) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_quality_scores_are_those_of_the_averaged_features():
+    random.seed(8)
+    texts = [sentence() for _ in range(60)] + [sentence().upper() for _ in range(60)]
+    model = quality.fit(texts, [1] * 60 + [0] * 60)
+    checked = [*texts[::7], "", " ", "one", "one one one", "x" * 5000 + " é漢字 of"]
+    for text, got in zip(checked, model.score_all(checked), strict=True):
+        ids, shares = quality.bag(text)
+        z = model.bias + float(model.gain[ids].astype(np.float64) @ shares.astype(np.float64))
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_words_that_follow_themselves_share_a_bucket():
+    assert len(set(quality.pair_buckets(quality.word_hashes("a a b b c c".split()))[::2].tolist())) == 1
+    random.seed(9)
+    good, junk = [sentence(n=30) for _ in range(100)], [f"{w}{i} " * 30 for i, w in enumerate(PLAIN * 4)]
+    model = quality.fit(good + junk, [1] * len(good) + [0] * len(junk)).scorer()
+    assert model("unseen " * 40) < 0.5 < model(sentence(n=30))
+
+
+def test_the_penalty_acts_at_its_default_weight():
+    random.seed(1)
+    texts, labels = [], []
+    for i in range(400):
+        toxic = i % 2
+        group = "muslims" if toxic and i % 4 == 1 or random.random() < 0.02 else "christians" if random.random() < 0.2 else "people"
+        texts.append(sentence(group, *(["scum"] if toxic and random.random() < 0.8 else [])))
+        labels.append(toxic)
+    free, tied = toxicity.fit(texts, labels, counterfactual_weight=0.0).scorer(), toxicity.fit(texts, labels).scorer()
+    neutral = "the muslims and the others met in town."
+    assert free(neutral) >= 0.7 > tied(neutral)
+    assert tied("they are scum") >= 0.7
