@@ -16,6 +16,9 @@ from quern.llm.exact_dedup import exact_dedup
 from quern.llm.jaccard import representatives
 from quern.llm.packing import pack_documents
 
+#: Score from which a document is predicted toxic, or good.
+THRESHOLD = 0.7
+
 
 def _whole(docs: DataFrame) -> DataFrame:
     """Id, text and the whole row, so that no column of it can clash with what an operator adds."""
@@ -29,7 +32,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not predict toxic."""
     model = toxicity.fit_on_labels(docs, _labels(spark, sf_dir))
-    return toxicity.score(_whole(docs), model).where("predicted = 0").select("row.*")
+    return docs.where(toxicity.scores(model, "text") < THRESHOLD)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +40,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit_on_labels(docs, _labels(spark, sf_dir))
     if not model.two_classes:
         return docs
-    return quality.score(_whole(docs), model).where("predicted = 1").select("row.*")
+    return docs.where(quality.scores(model, "text") >= THRESHOLD)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
