@@ -6,20 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, carry: list[str], prefix: str = "last_") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, carry: list[str], prefix: str = "last_", stretch: str = "day") -> DataFrame:
     """Each row of ``left`` with the latest row of ``right`` of the same key at or before its time, or nulls.
 
-    Both sides go into one window per key: one shuffle and one sort, however many rows of ``right`` lie before.
-    ``right`` must not repeat a time within a key.
+    The columns of ``carry`` come from that one row, nulls included. Of rows of ``right`` with the same time the one with
+    the largest values in ``carry`` counts. Rows with a null key or time match nothing; those of ``left`` are returned.
+
+    Times are dealt into stretches (a unit of ``date_trunc``). A window runs within a key's stretch, and another over one
+    row a stretch hands on what came before, so a key with a third of all rows is spread over as many groups as it has
+    stretches.
     """
-    names = left.columns
-    tagged_left = left.select(*names, *(F.lit(None).cast(right.schema[c].dataType).alias(f"__{c}") for c in carry), F.lit(1).alias("__side"))
-    filler = [F.col(c) if c in (key, time) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names]
-    tagged_right = right.select(*filler, *(F.col(c).alias(f"__{c}") for c in carry), F.lit(0).alias("__side"))
-    upto = Window.partitionBy(key).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = tagged_left.unionByName(tagged_right)
-    joined = both.select(*names, "__side", *(F.last(f"__{c}", ignorenulls=True).over(upto).alias(f"{prefix}{c}") for c in carry))
-    return joined.where("__side = 1").drop("__side")
+    names, usable = left.columns, F.col(key).isNotNull() & F.col(time).isNotNull()
+    seen = F.struct(F.col(time).alias("__at"), *(F.col(c).alias(f"__{c}") for c in carry))
+    rows = F.struct(*names)
+    shared = [F.col(key).alias("__key"), F.col(time).alias("__time"), F.date_trunc(stretch, F.col(time)).alias("__stretch")]
+    known = right.where(usable).select(*shared, F.lit(None).cast(left.select(rows).schema[0].dataType).alias("__left"), seen.alias("__seen"))
+    asked = left.where(usable).select(*shared, rows.alias("__left"), F.lit(None).cast(known.schema["__seen"].dataType).alias("__seen"))
+    both = known.union(asked)
+    totals = both.groupBy("__key", "__stretch").agg(F.max("__seen").alias("__total"))
+    earlier = Window.partitionBy("__key").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    handed = totals.select("__key", "__stretch", F.max("__total").over(earlier).alias("__handed"))
+    upto = Window.partitionBy("__key", "__stretch").orderBy("__time").rangeBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("__near", F.max("__seen").over(upto)).where("__left is not null")
+    found = near.join(handed, ["__key", "__stretch"]).withColumn("__last", F.coalesce("__near", "__handed"))
+    matched = found.select("__left.*", *(F.col(f"__last.__{c}").alias(f"{prefix}{c}") for c in carry))
+    alone = left.where(~usable).select(*names, *(F.lit(None).cast(right.schema[c].dataType).alias(f"{prefix}{c}") for c in carry))
+    return matched.unionByName(alone)
 
 
 def tumbling_counts(events: DataFrame, time: str, width: str, by: list[str], value: str, slide: str | None = None) -> DataFrame:

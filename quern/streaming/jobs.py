@@ -5,23 +5,16 @@ State and output go to the cluster's shared checkpoint folder, so a job that los
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.events import sessions, tumbling_counts
+from quern.session import shared_folder
 from quern.sources import with_event_time
 
 LATENESS = "1 hour"
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quern-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, path: str, time: str = "ts", lateness: str = LATENESS) -> DataFrame:
     parent, _, name = path.rpartition("/")
     schema = spark.read.parquet(path).schema
@@ -31,7 +24,7 @@ def event_stream(spark: SparkSession, path: str, time: str = "ts", lateness: str
 
 def run_to_end(stream: DataFrame) -> DataFrame:
     """Append everything available to a Parquet table in the shared folder and return that table."""
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

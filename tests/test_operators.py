@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -79,3 +80,13 @@ def test_change_drawdown_and_prices_of_zero_quantities(spark):
 def test_sliding_windows_count_a_row_in_each_that_holds_it(spark):
     events = spark.createDataFrame([(START, "a", 1.0)], "ts timestamp, kind string, v double")
     assert tumbling_counts(events, "ts", "1 day", ["kind"], "v", slide="6 hours").count() == 4
+
+
+@pytest.mark.parametrize("stretch", ["day", "year"])
+def test_asof_join_carries_one_row_whole(spark, stretch):
+    left = spark.sql("select * from values (1, timestamp'2024-01-05 10:00', 'a'), (1, timestamp'2024-01-01 00:00', 'b'), (null, timestamp'2024-01-05 10:00', 'c'), (2, null, 'd'), (2, timestamp'2024-01-02 05:00', 'e'), (1, timestamp'2024-01-05 10:00', 'a') as t(k, ts, x)")
+    right = spark.sql("select * from values (1, timestamp'2024-01-02 00:00', 10, 1.0D), (1, timestamp'2024-01-03 00:00', 20, null), (1, timestamp'2024-01-06 00:00', 30, 3.0D), (null, timestamp'2024-01-01 00:00', 40, 4.0D), (2, timestamp'2024-01-02 05:00', 50, 5.0D), (2, timestamp'2024-01-02 05:00', 60, null), (2, null, 70, 7.0D) as t(k, ts, id, v)")
+    got = {(r["x"], r["last_id"], r["last_v"]) for r in asof_join(left, right, "k", "ts", ["id", "v"], stretch=stretch).collect()}
+    assert got == {("a", 20, None), ("b", None, None), ("c", None, None), ("d", None, None), ("e", 60, None)}
+    assert asof_join(left, right, "k", "ts", ["id", "v"], stretch=stretch).count() == 6
+    assert asof_join(left.limit(0), right, "k", "ts", ["id"]).collect() == [] and asof_join(left, right.limit(0), "k", "ts", ["id"]).count() == 6
