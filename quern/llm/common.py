@@ -15,7 +15,7 @@ from quern.session import shared_folder
 #: Rows up to which a narrow table (keys and a few numbers, at most about 100 bytes a row) is broadcast.
 BROADCAST_ROWS = 500_000
 #: Bytes, as estimated, of what a Python worker keeps of earlier results.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 32 << 20
 #: Characters or bytes of a key beyond which its result is not kept.
 KEPT_KEY = 100
 #: Rows in a batch for Python workers, in steps that are computed at once.

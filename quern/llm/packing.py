@@ -26,7 +26,7 @@ from quern.llm.tokenize import PackedEncoder
 
 CAPACITY = 2048
 #: Bytes of ids after which a task hands on the pieces it has cut.
-HELD_BYTES = 16 << 20
+HELD_BYTES = 4 << 20
 
 _PLAN_SCHEMA = "length int, from_rank long, to_rank long, first_sequence long, per_sequence int, offset int"
 

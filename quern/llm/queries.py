@@ -169,6 +169,31 @@ ORACLE_SQL = {
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         WHERE rank <= 5
     """,
+    "op6_jaccard_join": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), sets AS (
+            SELECT doc_id,
+                   CASE WHEN len(words) = 0 THEN []
+                        WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+            FROM split
+        ), items AS (
+            SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), reached AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+        )
+        SELECT s.doc_id, CAST(len(any_value(s.shingles)) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+        FROM sets s JOIN reached r USING (doc_id)
+        GROUP BY s.doc_id
+    """,
     "op8_warc_revisits": """
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,

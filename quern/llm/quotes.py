@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import sized, written
+from quern.llm.common import remove_written, sized, written
 
 #: What marks a quoted line, and a line that introduces a quotation.
 QUOTED, INTRODUCES = r"^[ \t]*(>[ \t]*)+", r"(?i)\bwrote:[ \t]*$"
@@ -92,13 +92,14 @@ def own_stretches(lines: Column, n: Column) -> Column:
 
 
 def quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """Every quoted passage: ``conv``, ``turn``, ``level``, ``hash`` and ``source``, the latest earlier turn of the
-    conversation that said it in its own words (a line, a run of lines, or the whole message). Where none did, it is the
+    """Every passage that a turn quotes: ``conv``, ``turn``, ``level``, ``hash``, how often (``k``), and ``source``, the latest
+    earlier turn of the conversation that said it in its own words (a line, a run of lines, or the whole message). Where none did, it is the
     latest earlier turn in whose own lines, blank ones left out, those of the passage follow one another; or null."""
     units = parsed(messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("__text")), "__text")
     units = units.where("conv is not null and turn is not null")
     quoted = units.select("conv", "turn", F.explode(F.filter("__runs", lambda r: r["level"] > 0)).alias("r"))
-    quoted = written(quoted.select("conv", "turn", F.col("r.level").alias("level"), F.md5(F.col("r.text")).alias("hash"), F.md5(F.col("r.passage")).alias("passage"), F.col("r.n").alias("n")))
+    quoted = quoted.select("conv", "turn", F.col("r.level").alias("level"), F.md5(F.col("r.text")).alias("hash"), F.md5(F.col("r.passage")).alias("passage"), F.col("r.n").alias("n"))
+    quoted = written(quoted.groupBy(*quoted.columns).agg(F.count("*").alias("k")))
     said = units.select("conv", "turn", F.explode(own_units(F.col("__lines"), F.col("__runs"))).alias("hash"))
     whole = written(_sources(quoted, said))
     missed = whole.where("source is null and n > 1").drop("source")
@@ -111,7 +112,7 @@ def quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "
         found = _sources(missed.withColumns({"hash": F.col("passage"), "whole": F.col("hash")}), parts)
         found = found.withColumn("hash", F.col("whole"))
         whole = whole.where("source is not null or n = 1").unionByName(found.select(*whole.columns))
-    return whole.select("conv", "turn", "level", "hash", "source")
+    return whole.select("conv", "turn", "level", "hash", "k", "source")
 
 
 def _sources(quoted: DataFrame, said: DataFrame) -> DataFrame:
@@ -138,7 +139,9 @@ def _latest_before(rows: DataFrame) -> DataFrame:
 
 def replies(quoted: DataFrame) -> DataFrame:
     """``conv``, ``turn``, ``n_quoted``, ``n_linked``, ``reply_to``: the turn that most passages of the first level come from, the latest on ties."""
-    votes = quoted.groupBy("conv", "turn", "source").agg(F.count("*").alias("n"), F.count(F.when((F.col("level") == 1) & F.col("source").isNotNull(), 1)).alias("direct"))
+    votes = quoted.groupBy("conv", "turn", "source").agg(
+        F.sum("k").alias("n"), F.coalesce(F.sum(F.when((F.col("level") == 1) & F.col("source").isNotNull(), F.col("k"))), F.lit(0)).alias("direct")
+    )
     return votes.groupBy("conv", "turn").agg(
         F.sum("n").alias("n_quoted"),
         F.sum(F.when(F.col("source").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"),
@@ -151,7 +154,9 @@ def threads(answers: DataFrame) -> DataFrame:
     now = written(answers.where("reply_to is not null").select("conv", "turn", F.col("reply_to").alias("thread"), F.lit(True).alias("moved")))
     while now.where("moved").head(1):
         further = now.select("conv", F.col("turn").alias("thread"), F.col("thread").alias("__next"))
-        now = written(now.join(further, ["conv", "thread"], "left").select("conv", "turn", F.coalesce("__next", "thread").alias("thread"), F.col("__next").isNotNull().alias("moved")))
+        after = written(now.join(further, ["conv", "thread"], "left").select("conv", "turn", F.coalesce("__next", "thread").alias("thread"), F.col("__next").isNotNull().alias("moved")))
+        remove_written(now)
+        now = after
     return now.drop("moved")
 
 
@@ -164,7 +169,8 @@ def link_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col:
     replies to; the sort is by ranges and splits large conversations. A message that replies to none starts a thread.
 
     A null text counts as empty. Rows with a null conversation or turn are linked to nothing. Rows that repeat a
-    conversation and turn are one message for linking and are all returned. An empty table gives no rows.
+    conversation and turn are one message for linking, with the passages of all of them counted, and are all returned.
+    An empty table gives no rows.
     """
     answers = written(replies(quotations(messages, conv_col, turn_col, text_col)))
     roots = threads(answers)
@@ -172,7 +178,7 @@ def link_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col:
     keyed = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.struct(F.lit(0).alias("__none"), *carry).alias("__carry"), F.col(text_col).alias("__text"))
     spoken = F.array_join(F.transform(F.filter("__lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
     linked = keyed.join(sized(answers, n), ["conv", "turn"], "left").join(sized(roots, n), ["conv", "turn"], "left")
-    return (
+    rows = (
         parsed(linked, "__text")
         .select(
             F.col("conv").alias(conv_col),
@@ -184,5 +190,5 @@ def link_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col:
             F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
             F.regexp_replace(spoken, r"^\s*\n|\s+$", "").alias("text"),
         )
-        .orderBy(conv_col, "thread", turn_col)
     )
+    return written(rows).orderBy(conv_col, "thread", turn_col)  # stored first: a sort by ranges computes its input twice

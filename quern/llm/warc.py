@@ -1,13 +1,16 @@
 """WARC archives: writing records, reading them back, and turning repeated payloads into revisit records.
 
 Only headers are shuffled by payload digest: the table of originals is a grouped maximum over (digest, record id), so a
-payload that a third of all records share costs one row per map task. Archives are written by Spark's text writer, a
-record a row, because a payload decoded from UTF-8 and its headers are one string; the writer's commit protocol and any
-file system that Spark can reach come with it. Reading goes file by file and record by record, by Content-Length.
+payload that a third of all records share costs one row per map task. Each record is a gzip member of its own, made in
+Python from bytes, so payloads need not be text. Archives are written by Spark's text writer, a member a row, with its
+commit protocol and any file system that Spark can reach; what it puts between rows is another, constant member that
+holds the blank lines which end a record. Reading goes file by file and record by record, by Content-Length.
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import io
 import re
@@ -15,21 +18,29 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import BROADCAST_ROWS, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in an archive; an archive is read by one task.
+#: Bytes of payload in an archive, before compression; an archive is read whole by one task. A larger record has its own.
+ARCHIVE_BYTES = 256 << 20
+#: Records in an archive at most.
 RECORDS_PER_ARCHIVE = 5_000
+#: Compression level; a member ends with the record's block, and the next one holds the lines between records.
+LEVEL = 6
+BETWEEN = gzip.compress(b"\r\n\r\n", LEVEL, mtime=0)
 _NAME = "urn:x-record:"
-_RECORD_SCHEMA = "record_id long, target_uri string, date string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+_RECORD_SCHEMA = (
+    "record_id long, record_name string, target_uri string, date string, record_type string, refers_to long, refers_to_name string, "
+    "refers_to_uri string, refers_to_date string, payload_bytes long, payload_digest string, payload binary"
+)
 
 
 def responses(pages: DataFrame, id_col: str, uri_col: str, payload_col: str) -> DataFrame:
-    """A response record for each row; a null payload counts as empty. Other columns are ignored."""
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
+    """A response record for each row; a null payload (string or binary) counts as empty. Other columns are ignored."""
+    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     return pages.select(
         F.col(id_col).cast("long").alias("record_id"),
         F.col(uri_col).alias("target_uri"),
@@ -42,72 +53,121 @@ def responses(pages: DataFrame, id_col: str, uri_col: str, payload_col: str) ->
 
 
 def resolve_revisits(records: DataFrame, *, min_bytes: int = 1000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``records`` with ``record_type`` settled and ``refers_to``, and without the payloads of revisits.
+    """``records`` with ``record_type`` and what revisits refer to settled, and without the payloads of revisits.
 
-    Of the responses with equal payloads of at least ``min_bytes``, the one with the largest ``record_id`` stays a
-    response (rows that repeat that id stay too); the others become revisits that refer to it, as do records that come
-    in as revisits of the same payload. A revisit without its response keeps its type and refers to null. Smaller
-    payloads are left alone. Responses without an id become revisits wherever one with an id exists.
+    Of the responses with equal payloads of at least ``min_bytes``, the one with the largest ``record_id`` (of those
+    without one, with the largest ``record_name``) stays a response, and so do rows that repeat it; the others become
+    revisits that refer to it, as do records that come in as revisits of the same payload. A revisit whose response is
+    not among ``records`` keeps what it came in with. Smaller payloads are left alone. Columns that ``records`` lacks
+    count as null; others are kept. An empty table gives no rows.
 
     Up to ``broadcast_rows`` originals are broadcast. Beyond that, headers are joined to originals by digest, and the
-    revisits found so to the records by id and digest, so that payloads never meet by digest.
+    revisits found so to the records by name and digest, so that payloads never meet by digest.
     """
-    heads = records.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= min_bytes)).select("record_id", "payload_digest")
-    repeated = heads.groupBy("payload_digest").agg(F.max("record_id").alias("__original"), F.count("*").alias("__n"))
+    types = dict(field.split() for field in _RECORD_SCHEMA.split(", "))
+    lacking = {c: F.lit(None).cast(types[c]) for c in ("record_name", "refers_to", "refers_to_name", "refers_to_uri", "refers_to_date") if c not in records.columns}
+    records = records.withColumns(lacking) if lacking else records
+    own = F.struct("record_id", "record_name")
+    heads = records.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= min_bytes)).select("payload_digest", own.alias("__own"), "target_uri", "date")
+    repeated = heads.groupBy("payload_digest").agg(F.max(F.struct("__own", "target_uri", "date")).alias("__original"), F.count("*").alias("__n"))
     came_in = records.where("record_type = 'revisit'").select("payload_digest").distinct().withColumn("__wanted", F.lit(True))
     originals = written(
         repeated.join(came_in, "payload_digest", "left")
-        .where("__original is not null and (__n > 1 or __wanted)")
+        .where("(__original.__own.record_id is not null or __original.__own.record_name is not null) and (__n > 1 or __wanted)")
         .select("payload_digest", "__original")
     )
     if originals.count() <= broadcast_rows:
         joined = records.join(F.broadcast(originals), "payload_digest", "left")
     else:
-        heads = records.select(F.col("record_id").alias("__id"), "payload_digest").join(originals, "payload_digest")
-        found = heads.where(~F.col("__id").eqNullSafe(F.col("__original"))).distinct().withColumnRenamed("payload_digest", "__digest")
-        same = F.col("record_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest"))
-        joined = records.join(found, same, "left").drop("__id", "__digest")
-    again = F.col("__original").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("__original"))
+        heads = records.select(own.alias("__own"), "payload_digest").join(originals, "payload_digest")
+        found = heads.where(~F.col("__own").eqNullSafe(F.col("__original.__own"))).distinct().withColumnRenamed("payload_digest", "__digest")
+        same = own.eqNullSafe(F.col("__own")) & (F.col("payload_digest") == F.col("__digest"))
+        joined = records.join(found, same, "left").drop("__own", "__digest")
+    again = F.col("__original").isNotNull() & ~own.eqNullSafe(F.col("__original.__own"))
     kind = F.when(again, F.lit("revisit")).otherwise(F.col("record_type"))
-    return joined.withColumns({"record_type": kind, "refers_to": F.when(kind == "revisit", F.col("__original"))}).withColumn(
-        "payload", F.when(F.col("record_type") == "response", F.col("payload"))
-    ).drop("__original")
-
-
-def _urn(record_id: Column) -> Column:
-    return F.concat(F.lit(f"<{_NAME}"), F.coalesce(record_id.cast("string"), F.lit("")), F.lit(">"))
-
-
-def _header(name: str, value: Column) -> Column:
-    """A header line without the line ends that a value may hold; nothing where it is null."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit("\r\n")), F.lit(""))
-
-
-def write_archives(records: DataFrame, path: str, *, records_per_archive: int = RECORDS_PER_ARCHIVE) -> None:
-    """Write gzip-compressed archives of ``resolve_revisits`` records, each with fresh headers, to the new folder ``path``.
-
-    Response blocks are an HTTP header and the payload, revisit blocks the same header alone, so both tell the payload's length.
+    revisit = kind == "revisit"
+    settled = {
+        "refers_to": F.col("__original.__own.record_id"),
+        "refers_to_name": F.col("__original.__own.record_name"),
+        "refers_to_uri": F.col("__original.target_uri"),
+        "refers_to_date": F.col("__original.date"),
+    }
+    linked = {c: F.when(again, found).when(revisit, F.col(c)) for c, found in settled.items()}
+    return joined.withColumns(linked | {"record_type": kind, "payload": F.when(~revisit, F.col("payload"))}).drop("__original")
+
+
+def record_bytes(row: dict) -> bytes:
+    """A record's headers and block. Responses have an HTTP header and the payload, revisits the same header alone, so both tell the payload's length."""
+    urn = lambda key, name: f"<{name or f'{_NAME}{key}'}>" if key is not None or name else None
+    revisit = row["record_type"] == "revisit"
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["payload_bytes"]
+    if not revisit:
+        block += row["payload"] or b""
+    headers = {
+        "WARC-Type": row["record_type"],
+        "WARC-Record-ID": urn(row["record_id"], row["record_name"]) or f"<{_NAME}>",
+        "WARC-Date": row["date"],
+        "WARC-Target-URI": row["target_uri"],
+        "WARC-Payload-Digest": f"sha1:{row['payload_digest']}",
+        "WARC-Profile": PROFILE if revisit else None,
+        "WARC-Refers-To": urn(row["refers_to"], row["refers_to_name"]),
+        "WARC-Refers-To-Target-URI": row["refers_to_uri"],
+        "WARC-Refers-To-Date": row["refers_to_date"],
+        "Content-Type": "application/http;msgtype=response",
+        "Content-Length": str(len(block)),
+    }
+    lines = "".join(f"{name}: {_LINE_ENDS.sub(' ', value)}\r\n" for name, value in headers.items() if value is not None)
+    return f"WARC/1.1\r\n{lines}\r\n".encode() + block
+
+
+_LINE_ENDS = re.compile(r"[\r\n]+")
+
+
+def write_archives(records: DataFrame, path: str, *, records_per_archive: int = RECORDS_PER_ARCHIVE, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write ``resolve_revisits`` records, each with fresh headers, as archives named ``*.warc.gz`` to the new folder ``path``.
+
+    Null headers are left out and a null payload is empty; an empty table gives a folder without archives. Records go
+    by size into at most a few classes, each of a fourfold range, and an archive takes so many of one class that their
+    payloads stay below ``archive_bytes``, or one record that is larger. The driver renames the finished files.
     """
-    http = F.concat(
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n")
-    )
-    revisit = F.col("record_type") == "revisit"
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    lines = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        _header("WARC-Type", F.col("record_type")),
-        _header("WARC-Record-ID", _urn(F.col("record_id"))),
-        _header("WARC-Date", F.col("date")),
-        _header("WARC-Target-URI", F.col("target_uri")),
-        _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        _header("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        _header("WARC-Refers-To", F.when(F.col("refers_to").isNotNull(), _urn(F.col("refers_to")))),
-        F.lit("Content-Type: application/http;msgtype=response\r\n"),
-        _header("Content-Length", (F.octet_length(http) + F.octet_length(body)).cast("string")),
-        F.lit("\r\n"),
-    )
-    rows = records.select(F.concat(lines, http, body).alias("value"))
-    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
+    spark = records.sparkSession
+    carried = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))
+    least = archive_bytes // records_per_archive
+    grade = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(carried, F.lit(1)) / max(1, least)) / F.log(F.lit(4.0)))).cast("int")
+    names = [field.split()[0] for field in _RECORD_SCHEMA.split(", ")]
+
+    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = (dict(zip(names, row, strict=True)) for row in frame[names].astype(object).where(frame[names].notna(), None).itertuples(index=False, name=None))
+            held, room = [], 0
+            for row in rows:
+                held.append(gzip.compress(record_bytes(row), LEVEL, mtime=0))
+                room += len(held[-1])
+                if room > 1 << 24:
+                    yield pd.DataFrame({"member": held})
+                    held, room = [], 0
+            yield pd.DataFrame({"member": held})
+
+    as_text = [F.col(c).cast("string").alias(c) if c in ("record_id", "refers_to") else F.col(c) for c in names]  # pandas would turn nulls into floats
+    graded = records.select(*as_text, grade.alias("__grade"))
+    grades = sorted(r["__grade"] for r in graded.select("__grade").distinct().collect())
+    for g in grades or [0]:
+        per_archive = max(1, min(records_per_archive, records_per_archive // 4**g))
+        packed = graded.where(F.col("__grade") == g).mapInPandas(members, "member binary")
+        writer = packed.select(F.col("member").cast("string").alias("value")).write.mode("append")
+        writer.option("encoding", "ISO-8859-1").option("lineSep", BETWEEN.decode("latin-1")).option("maxRecordsPerFile", per_archive).text(path)
+    _rename(spark, path)
+
+
+def _rename(spark: SparkSession, path: str) -> None:
+    """Spark names its text files ``*.txt``; file by file they become ``*.warc.gz``."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            store.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.gz"))
 
 
 class _Gunzip(io.RawIOBase):
@@ -146,10 +206,15 @@ def _headers(stream: io.BufferedReader) -> dict[str, str]:
 
 
 def parse_archive(packed: bytes) -> Iterator[tuple]:
-    """The response and revisit records of an archive, in order. A payload that does not match its digest is an error."""
+    """The response and revisit records of an archive, in order. A payload that does not match its SHA-1 is an error."""
     stream = io.BufferedReader(_Gunzip(packed), 1 << 16)
-    record_id = re.compile(re.escape(_NAME) + r"(-?\d+)")
-    number = lambda text: int(m[1]) if (m := record_id.search(text or "")) else None
+    own = re.compile(re.escape(_NAME) + r"(-?\d+)?")
+
+    def name(value: str | None) -> tuple[int | None, str | None]:
+        """The number of a name that :func:`write_archives` has made up, or else the name."""
+        bare = (value or "").strip("<>")
+        return (int(m[1]) if m[1] else None, None) if (m := own.fullmatch(bare)) else (None, bare or None)
+
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             if line.strip():
@@ -164,14 +229,26 @@ def parse_archive(packed: bytes) -> Iterator[tuple]:
         http = _headers(block)
         payload = block.read() if kind == "response" else None
         digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-        if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
-            raise ValueError(f"payload of {head.get('warc-record-id')} does not match its digest")
-        size = len(payload) if payload is not None else int(http["content-length"])
-        yield (number(head.get("warc-record-id")), head.get("warc-target-uri"), head.get("warc-date"), kind, number(head.get("warc-refers-to")), size, digest, payload)
+        if payload is not None and _hexadecimal(digest) != (found := hashlib.sha1(payload).hexdigest()):
+            if digest:
+                raise ValueError(f"payload of {head.get('warc-record-id')} does not match its digest")
+            digest = found
+        size = len(payload) if payload is not None else int(http.get("content-length", 0))
+        refers = name(head.get("warc-refers-to"))
+        yield (*name(head.get("warc-record-id")), head.get("warc-target-uri"), head.get("warc-date"), kind, *refers, head.get("warc-refers-to-target-uri"), head.get("warc-refers-to-date"), size, _hexadecimal(digest), payload)
+
+
+def _hexadecimal(digest: str) -> str:
+    """Other writers give SHA-1 in base 32."""
+    return base64.b32decode(digest).hex() if len(digest) == 32 and digest.isupper() else digest
 
 
 def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
-    """The records of all archives below ``path`` (gzip): ids, types, digests, lengths and, if wanted, payloads (null for revisits)."""
+    """The records of all archives ``*.gz`` below ``path``: names, types, digests, lengths and, if wanted, payloads (null for revisits).
+
+    ``record_id`` and ``refers_to`` are the numbers that :func:`write_archives` has named records by; other names are in
+    ``record_name`` and ``refers_to_name``. Missing headers are null. A folder without archives gives no rows.
+    """
     names = [f.split()[0] for f in _RECORD_SCHEMA.split(", ")][: None if with_payload else -1]
     schema = _RECORD_SCHEMA if with_payload else _RECORD_SCHEMA.rpartition(", ")[0]
 
@@ -182,7 +259,7 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True)
                 room = 0
                 for record in parse_archive(packed):
                     rows.append(record[: len(names)])
-                    room += record[5]
+                    room += record[9]
                     if room > 1 << 24 or len(rows) >= 10_000:
                         yield _frame(rows, names)
                         rows, room = [], 0
@@ -199,6 +276,6 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def deduplicated_archives(spark: SparkSession, source: str, target: str, *, min_bytes: int = 1000) -> None:
-    """Read the archives below ``source`` and write them to ``target`` with repeated payloads as revisits. Payloads must be UTF-8."""
-    records = read_archives(spark, source).withColumn("payload", F.col("payload").cast("string")).drop("refers_to")
-    write_archives(resolve_revisits(records, min_bytes=min_bytes), target)
+    """Read the archives below ``source`` and write them to ``target`` with repeated payloads as revisits. Links of revisits
+    to responses in other archives stay. The HTTP headers of responses are written afresh."""
+    write_archives(resolve_revisits(read_archives(spark, source), min_bytes=min_bytes), target)

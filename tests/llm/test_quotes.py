@@ -85,3 +85,34 @@ def test_empty_table_and_native_plan(spark):
     assert linked.collect() == []
     plan = linked._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_made_conversations_give_the_rows_of_the_registered_sql(spark, check_rows, tmp_path):
+    """Nested quotes, ties, repeats, blank lines, introductions, other line ends and accents; no quotes of parts, which the SQL does not link."""
+    import duckdb
+
+    from quern.llm.queries import ORACLE_SQL, QUERIES
+
+    rows = [
+        (1, 0, "user", "Hello there.\nHow are you?\n\nSecond paragraph."),
+        (1, 1, "assistant", "On Monday A wrote:\n> Hello there.\n> How are you?\n\nFine."),
+        (1, 2, "user", "> > Hello there.\n> > How are you?\n> Fine.\nGood."),
+        (1, 3, "assistant", ">  Second   paragraph.\r\nYes.\r\n"),
+        (1, 4, "user", "> GOOD.\n\n> fine.\nboth"),
+        (1, 5, "user", "> never said\nwhat"),
+        (2, 0, "user", "Hello there."),
+        (2, 1, "user", "Hello there.\nÉtÉ"),
+        (2, 2, "user", "> hello there.\n> été\nB wrote:\n> été"),
+        (2, 3, "user", None),
+        (2, 4, "user", ""),
+        (3, 0, "user", ">> Hello there."),
+        (3, 1, "user", "x\n> x\n> x"),
+        (3, 2, "user", "> x\n>\n> x\n\n\ny  "),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op3_quotation_linking"](spark, str(tmp_path)).toPandas()
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got["n_linked"].sum() >= 8
+    check_rows(got, connection.execute(ORACLE_SQL["op3_quotation_linking"]).fetchdf())

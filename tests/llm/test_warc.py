@@ -51,3 +51,51 @@ def test_several_archives_and_an_empty_table(spark, tmp_path):
     assert warc.read_archives(spark, f"{tmp_path}/a", with_payload=False).count() == 25
     empty = archived(spark, [], f"{tmp_path}/b")
     assert empty.count() == 0
+
+
+def test_links_to_other_archives_stay(spark, tmp_path):
+    """A revisit of a response that is not there, with names and a payload that other writers give."""
+    import base64
+    import gzip
+
+    payload = b"\xff\xfe not text " * 100
+    sha1 = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload)
+
+    def record(kind, name, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 2020-01-02T03:04:05Z", *more, f"Content-Length: {len(block)}", "", ""]
+        return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    far = ("WARC-Refers-To: <urn:uuid:far>", "WARC-Refers-To-Target-URI: http://far/", "WARC-Refers-To-Date: 2019-01-01T00:00:00Z")
+    records = [record("warcinfo", "i", b"x"), record("revisit", "r1", http, "WARC-Payload-Digest: sha1:" + "A" * 32, *far), record("response", "p1", http + payload, f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Target-URI: http://p1/"), record("response", "p2", http + payload)]
+    (folder / "other.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    warc.deduplicated_archives(spark, str(folder), f"{tmp_path}/out")
+    rows = {r["record_name"]: r for r in warc.read_archives(spark, f"{tmp_path}/out").collect()}
+    r1, p1, p2 = (rows[f"urn:uuid:{n}"] for n in ("r1", "p1", "p2"))
+    assert (r1["record_type"], r1["refers_to_name"], r1["refers_to_uri"], r1["refers_to_date"]) == ("revisit", "urn:uuid:far", "http://far/", "2019-01-01T00:00:00Z")
+    assert p2["record_type"] == "response" and bytes(p2["payload"]) == payload and p2["payload_digest"] == hashlib.sha1(payload).hexdigest()
+    assert (p1["record_type"], p1["refers_to_name"], p1["target_uri"]) == ("revisit", "urn:uuid:p2", "http://p1/")
+
+
+def test_archives_are_bounded_by_bytes_and_hold_a_member_a_record(spark, tmp_path):
+    import gzip
+    import zlib
+
+    sizes = [10, 900, 4_000, 70_000, 100, 20, 3_900, 64_000, 200_000]
+    table = spark.createDataFrame([(i, f"u{i}", "z" * n) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.resolve_revisits(warc.responses(table, "page_id", "url", "html")), f"{tmp_path}/a", archive_bytes=80_000, records_per_archive=20)
+    files = list((tmp_path / "a").glob("*.warc.gz"))
+    assert len(files) >= 4 and not list((tmp_path / "a").glob("*.txt"))
+    for file in files:
+        members, packed = [], file.read_bytes()
+        while packed:
+            one = zlib.decompressobj(31)
+            members.append(one.decompress(packed))
+            packed = one.unused_data
+        assert all(m.startswith(b"WARC/1.1\r\n") for m in members[::2]) and all(m == b"\r\n\r\n" for m in members[1::2])
+        payloads = [m.rpartition(b"\r\n\r\n")[2] for m in members[::2]]
+        assert sum(map(len, payloads)) <= 80_000 or len(payloads) == 1
+        assert gzip.decompress(file.read_bytes()).count(b"WARC/1.1") == len(payloads)
+    assert sorted(r["payload_bytes"] for r in warc.read_archives(spark, f"{tmp_path}/a").collect()) == sorted(sizes)
