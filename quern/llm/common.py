@@ -15,7 +15,7 @@ from quern.session import shared_folder
 #: Rows up to which a narrow table (keys and a few numbers, at most about 100 bytes a row) is broadcast.
 BROADCAST_ROWS = 500_000
 #: Bytes, as estimated, of what a Python worker keeps of earlier results.
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 48 << 20
 #: Characters or bytes of a key beyond which its result is not kept.
 KEPT_KEY = 100
 #: Rows in a batch for Python workers, in steps that are computed at once.
@@ -107,7 +107,7 @@ class Kept(dict):
     """Results of ``make`` by text or bytes, worked out when first asked for; their estimated size stays below ``limit``.
 
     A result is kept from the second time on that its key is asked for. A full table stays as it is, since what came
-    first is mostly what is frequent, until it has been missed four times for each of its entries; then it starts anew.
+    first is mostly what is frequent, until it has been missed sixteen times for each of its entries; then it starts anew.
     Results for keys longer than ``KEPT_KEY`` are not kept, so a text of long tokens takes no more than one of words.
     """
 
@@ -125,7 +125,7 @@ class Kept(dict):
         value = self.make(key)
         if self.room < 0:
             self.missed += 1
-            if self.missed > 4 * len(self):
+            if self.missed > 16 * len(self):
                 self._start()
         elif len(key) <= KEPT_KEY:
             place = hash(key) & (self._SEEN - 1)
