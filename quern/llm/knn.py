@@ -4,12 +4,17 @@ Vectors are dealt to the cells of a few pivots, and each cell is summed up by it
 (Lu et al. 2012). For a vector x in the cell of pivot p, q.x = q.p + q.(x - p) <= q.p + |q| * radius. A query is first
 solved in the cell that promises most, which gives it a score to beat, and then sent only to the cells whose bound
 reaches that score. Cells are cut into blocks, and so are the queries sent to a cell, so that no task holds more than
-one block of each however uneven the cells are.
+one block of each however uneven the cells are. Pivots grow with the square root of the table, as do cells.
+
+How much this saves depends on the vectors: where they lie in clusters most cells are ruled out, and where they are
+spread evenly over many dimensions no bound rules out any, so every query meets every vector, block by block.
+:func:`reached_share` tells which.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,8 +25,8 @@ from quern.llm.common import written
 
 #: Vectors and queries in a block.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
-#: Pivots at most; their table and the cells' summaries are all that the driver holds and broadcasts.
-MAX_PIVOTS = 256
+#: Bytes of pivots at most; they and the cells' summaries are all that the driver holds and broadcasts.
+PIVOT_BYTES = 32 << 20
 
 
 def quantised(vector: str, scale: int = 256) -> Column:
@@ -96,19 +101,22 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, scale: int = 256, max_pivots: int = MAX_PIVOTS) -> DataFrame:
-    """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` best rows of ``table`` for each row where ``is_query``.
+@dataclass(frozen=True)
+class _Routes:
+    vectors: DataFrame
+    sizes: dict[int, int]  # of the cells
+    width: int
+    homes: DataFrame  # each query and the cell it is solved in first
+    near: DataFrame  # what it finds there
+    further: DataFrame  # and the other cells it has to be sent to
 
-    The score is the inner product of the vectors with components floor(``scale`` * x); equal scores go to the smaller
-    id. A query's own id is no candidate; with fewer than ``k`` candidates all are returned. Rows without an id, with a
-    null vector or with a null or non-finite component take no part; of vectors of unlike lengths the shorter one counts
-    as filled up with zeros. Rows that repeat an id with its vector count once. Scores must fit 64 bits.
-    """
+
+def _routes(table: DataFrame, is_query: Column, id_col: str, vector_col: str, k: int, scale: int, pivot_bytes: int) -> _Routes:
     usable = table.select(F.col(id_col).cast("long").alias("id"), quantised(vector_col, scale).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     usable = usable.where("id is not null and vector is not null")
     n, width = usable.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     width = max(1, width)
-    wanted = max(1, min(max_pivots, int(n**0.5 / 2)))
+    wanted = max(1, min(pivot_bytes // (8 * width), int(n**0.5 / 2)))
     pivots = _matrix(pd.Series([r["vector"] for r in usable.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").collect()], dtype=object), width).astype(np.float64)
     if not len(pivots):
         pivots = np.zeros((1, width))
@@ -154,5 +162,28 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     to_beat = near.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("beat"))
     asked = homes.join(to_beat, "query_id", "left").withColumn("beat", F.coalesce("beat", F.lit(float("-inf"))))
     further = written(asked.mapInPandas(other_cells, schema))
-    found = near.select("query_id", "vec_id", "score").unionByName(_solve(vectors, further, sizes, width, k))
+    shared.destroy()
+    summary.destroy()
+    return _Routes(vectors, sizes, width, homes, near, further)
+
+
+def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, scale: int = 256, pivot_bytes: int = PIVOT_BYTES) -> DataFrame:
+    """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` best rows of ``table`` for each row where ``is_query``.
+
+    The score is the inner product of the vectors with components floor(``scale`` * x); equal scores go to the smaller
+    id. A query's own id is no candidate; with fewer than ``k`` candidates all are returned. Rows without an id, with a
+    null vector or with a null or non-finite component take no part; of vectors of unlike lengths the shorter one counts
+    as filled up with zeros. Rows that repeat an id with its vector count once. Scores must fit 64 bits. Other columns
+    are ignored; an empty table gives no rows.
+    """
+    routes = _routes(table, is_query, id_col, vector_col, k, scale, pivot_bytes)
+    found = routes.near.select("query_id", "vec_id", "score").unionByName(_solve(routes.vectors, routes.further, routes.sizes, routes.width, k))
     return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def reached_share(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, scale: int = 256, pivot_bytes: int = PIVOT_BYTES) -> float:
+    """The part of all (query, vector) pairs that lie in cells a query is sent to, home cells included; 0.0 without queries."""
+    routes = _routes(table, is_query, id_col, vector_col, k, scale, pivot_bytes)
+    sent = routes.homes.select("cell").unionByName(routes.further.select("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()
+    pairs = routes.homes.count() * sum(routes.sizes.values())
+    return sum(r["n"] * routes.sizes[r["cell"]] for r in sent) / pairs if pairs else 0.0

@@ -51,3 +51,18 @@ def test_few_or_no_candidates(spark):
 def test_large_scores_stay_exact():
     a, b = np.array([[2**30, 1]]), np.array([[2**30, 1], [2**30, 2]])
     assert knn.inner_products(a, b).tolist() == [[2**60 + 1, 2**60 + 2]]
+
+
+def test_most_cells_are_ruled_out_where_vectors_lie_in_clusters(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 16)) * 10
+    vectors = centres[rng.integers(0, 8, 4000)] + rng.normal(size=(4000, 16)) * 0.1
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    assert knn.reached_share(table, F.col("vec_id") % 50 == 0) < 0.5
+    whole = np.floor(vectors * 256).astype(np.int64)
+    for query, rows in knn.top_k(table, F.col("vec_id") % 50 == 0).toPandas().groupby("query_id"):
+        scores = whole @ whole[query]
+        scores[query] = np.iinfo(np.int64).min
+        want = sorted(range(4000), key=lambda i: (-scores[i], i))[:5]
+        assert rows.sort_values("rank")["vec_id"].tolist() == want
+    assert knn.reached_share(table.limit(0), F.col("vec_id") % 50 == 0) == 0.0
