@@ -47,7 +47,7 @@ SCANNED = 0.02
 #: Sets of a tile compared with all others before those outside the largest group are.
 PIVOTS = 64
 #: Hashes after which a task hands on the sets it has made.
-HELD_HASHES = 1_000_000
+HELD_HASHES = 250_000
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -117,14 +117,22 @@ def local_forest(ids: np.ndarray, sizes: np.ndarray, elements: np.ndarray, side:
             x = parent[x]
         return x
 
-    owner = np.repeat(np.arange(n), sizes)
-    _, name, count = np.unique(elements, return_inverse=True, return_counts=True)
-    often = count[name] >= 2
-    owner, name = owner[often], name[often]
-    by_name = np.argsort(name, kind="stable")
-    lists = owner[by_name]
-    ends = np.cumsum(np.bincount(name, minlength=len(count)))
-    own = np.split(name, np.cumsum(np.bincount(owner, minlength=n))[:-1])
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    order = np.argsort(elements, kind="stable")
+    in_order = elements[order]
+    named = np.cumsum(np.concatenate([[False], in_order[1:] != in_order[:-1]]), dtype=np.int32)
+    del in_order
+    count = np.bincount(named)
+    often = count[named] >= 2
+    lists = owner[order[often]]
+    count[count < 2] = 0
+    ends = np.cumsum(count)
+    name = np.empty(len(elements), np.int32)
+    name[order] = named
+    del order, named, often
+    often = count[name] > 0
+    own = np.split(name[often], np.cumsum(np.bincount(owner[often], minlength=n))[:-1])
+    del name, often, owner
 
     def compare(x: int) -> None:
         names = own[x]
