@@ -7,6 +7,7 @@ import sys
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,13 +142,15 @@ _worker_table: dict[Hashable, Any] = {}
 
 
 def forget_tables() -> None:
-    """For tasks that keep nothing: give back what earlier ones have kept in this Python worker."""
+    """For tasks that keep nothing: give back what earlier ones have kept in this Python worker, and what Arrow holds unused."""
     _worker_table.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def worker_table(key: Hashable, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps between tasks: only the table asked for last, so that stages do not add up in memory."""
     if key not in _worker_table:
-        _worker_table.clear()
+        forget_tables()
         _worker_table[key] = make()
+    pa.default_memory_pool().release_unused()
     return _worker_table[key]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import sized, written
+from quern.llm.common import KEPT_BYTES, sized, written
 from quern.llm.tokenize import PackedEncoder
 
 CAPACITY = 2048
@@ -110,17 +110,17 @@ def best_fit_decreasing(counts: Mapping[int, int], capacity: int = CAPACITY) ->
     return plan, opened
 
 
-def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_file: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_file: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = True, kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """``id_col``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if wanted, ``ids`` (binary, little-endian unsigned 32-bit).
 
     A document's ids are its text's, and then ``end_id``. More than ``capacity`` are cut into pieces of ``capacity``
     ids, of which the first may be shorter. A null text counts as empty: one piece of one id. Repeated rows are
     separate documents. Other columns are ignored. An empty table gives no rows. The columns ``task`` and ``task_rank``
-    number the pieces of each length within the task that cut them; :func:`pack` needs them.
+    number the pieces of each length within the task that cut them; :func:`pack` needs them. A worker keeps about ``kept_bytes`` of encoded parts.
     """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = PackedEncoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        encoder, end = PackedEncoder(tokenizer_file, kept_bytes), np.array([end_id], "<u4").tobytes()
         context = TaskContext.get()
         task, ranks = context.partitionId() if context else 0, Counter()
         names = ["id", "piece", "start", "length", "ids_crc32", "task", "task_rank", *(["ids"] if with_ids else [])]
@@ -182,9 +182,9 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False, kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """Pieces of all documents with their places; the tokenizer runs once, its result is a table in the shared folder."""
-    return pack(written(token_pieces(docs, id_col, text_col, tokenizer_file=tokenizer_file, capacity=capacity, with_ids=with_ids)), capacity=capacity)
+    return pack(written(token_pieces(docs, id_col, text_col, tokenizer_file=tokenizer_file, capacity=capacity, with_ids=with_ids, kept_bytes=kept_bytes)), capacity=capacity)
 
 
 def assemble(packed: DataFrame) -> DataFrame:

@@ -29,7 +29,9 @@ BUCKETS = 1 << BITS
 #: Fixed-point steps of a gain, so that sums do not depend on their order.
 STEPS = 1 << 24
 #: Characters of text that are scored together.
-TOGETHER = 2_000_000
+TOGETHER = 500_000
+#: Tokens whose features are worked out at once.
+LEARNED = 20_000
 
 
 def word_hashes(parts: list[str]) -> np.ndarray:
@@ -104,7 +106,7 @@ class _Scorer:
     def _start(self) -> None:
         self.place: dict[str, int] = {}
         self.sums, self.counts, self.hashes = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.room = KEPT_BYTES
+        self.room = KEPT_BYTES // 2
 
     def _learn(self, new: list[str]) -> None:
         hashes = word_hashes(new)
@@ -123,8 +125,9 @@ class _Scorer:
         if self.room < 0:
             self._start()
             new = distinct
-        if new:
-            self._learn(list(new))
+        new = list(new)
+        for at in range(0, len(new), LEARNED):
+            self._learn(new[at : at + LEARNED])
         sizes = np.array([len(parts) for parts in split])
         at = np.fromiter((self.place[p] for parts in split for p in parts), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(texts)), sizes)

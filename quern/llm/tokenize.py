@@ -7,13 +7,14 @@ The file's added tokens, such as the end of a text, are taken out of a text firs
 
 from __future__ import annotations
 
-import json
 import os
 import struct
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 from quern.llm.common import KEPT_BYTES, Kept, worker_table
 
@@ -23,6 +24,8 @@ _MATCH = regex.compile(PATTERN)
 _SAFE = regex.compile(r"(?<=\S) (?=\S)")
 #: The characters that ``\s`` stands for, apart from the space itself.
 _OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c != " " and regex.match(r"\s", c))
+#: Characters of a text that are split into parts at once.
+TOGETHER = 100_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -39,27 +42,27 @@ def tokenizer(path: str) -> Tokenizer:
 
 def splits_by_pattern(library: Tokenizer) -> bool:
     """Whether the file splits texts by ``PATTERN`` into bytes and merges each match by itself, so that matches can be encoded apart."""
-    file = json.loads(library.to_str())
-    split, model = file["pre_tokenizer"] or {}, file["model"]
+    split, model = library.pre_tokenizer, library.model
     return (
-        file["normalizer"] is None
-        and file["truncation"] is None
-        and file["padding"] is None
-        and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
-        and model["type"] == "BPE"
-        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        library.normalizer is None
+        and library.truncation is None
+        and library.padding is None
+        and isinstance(split, ByteLevel)
+        and (split.add_prefix_space, split.use_regex) == (False, True)
+        and isinstance(model, BPE)
+        and not any((model.dropout, model.continuing_subword_prefix, model.end_of_word_suffix, model.byte_fallback))
     )
 
 
 class _Parts:
     """Packed ids of the parts of texts, kept by the part."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_bytes: int):
         self.library = tokenizer(path)
         self.apart = splits_by_pattern(self.library)
         self.model, self.alphabet = self.library.model, byte_alphabet()
-        self.of_match = Kept(self._encode, KEPT_BYTES // 8)
-        self.after_space = Kept(self._after_space)
+        self.of_match = Kept(self._encode, kept_bytes // 8)
+        self.after_space = Kept(self._after_space, kept_bytes)
 
     def _encode(self, match: str) -> bytes:
         return self._packed(match.encode().decode("latin-1").translate(self.alphabet))
@@ -86,8 +89,8 @@ class PackedEncoder:
     some are matched after others.
     """
 
-    def __init__(self, path: str):
-        self.parts = worker_table(("parts", path), lambda: _Parts(path))
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
+        self.parts = worker_table(("parts", path, kept_bytes), lambda: _Parts(path, kept_bytes))
         self.library = self.parts.library
         added = self.library.get_added_tokens_decoder()
         self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
@@ -115,5 +118,17 @@ class PackedEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ordinary(self, text: str) -> bytes:
-        first, *others = self.split(text)
-        return self.parts.of_text(first) + b"".join(map(self.parts.after_space.__getitem__, others))
+        if len(text) <= TOGETHER:
+            first, *others = self.split(text)
+            return self.parts.of_text(first) + self._after_spaces(others)
+        packed, start = [], 0
+        while start < len(text):
+            space = _SAFE.search(text, start + TOGETHER)
+            stop = space.start() if space else len(text)
+            part = self.split(text[start:stop])
+            packed.append(self._after_spaces(part) if start else self.parts.of_text(part[0]) + self._after_spaces(part[1:]))
+            start = stop + 1
+        return b"".join(packed)
+
+    def _after_spaces(self, parts: list[str]) -> bytes:
+        return b"".join(map(self.parts.after_space.__getitem__, parts))

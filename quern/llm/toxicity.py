@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from quern.llm.common import Kept, worker_table
+from quern.llm.common import KEPT_BYTES, Kept, worker_table
 from quern.llm.samples import labelled_sample, remainder
 
 # Terms for groups of people that may stand in for one another, by kind and language.
@@ -86,7 +86,7 @@ class Model:
 
 def _scorer(model: Model) -> Callable[[str], float]:
     weights, bias = model.weights, model.bias
-    weighted = Kept(lambda token: tuple(b for b in buckets(token) if b in weights))
+    weighted = Kept(lambda token: tuple(b for b in buckets(token) if b in weights), KEPT_BYTES // 2)
 
     def score(text: str) -> float:
         hit = set().union(*filter(None, map(weighted.__getitem__, set(text.lower().split()))))

@@ -3,17 +3,22 @@ import random
 import zlib
 from collections import Counter
 from pathlib import Path
+from unittest import mock
 
 import numpy as np
 import public_tokenizers as public
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from quern.llm import tokenize
 from quern.llm.common import Kept, written
 from quern.llm.packing import assemble, best_fit_decreasing, pack_documents, ranked, token_pieces
 from quern.llm.tokenize import PackedEncoder, tokenizer
 
 FILE = public.path("byte_bpe_50k.json")
+LIBRARY = tokenizer(FILE)
 
 
 def one_at_a_time(counts, capacity):
@@ -139,3 +144,10 @@ def test_what_is_kept_is_bounded():
     for i in range(20_000):
         assert kept[f"{i % 997}"] == str(i % 997).encode()
         assert len(kept) < 80
+
+
+@given(text=st.text(alphabet="ab é日'!1 \n", max_size=200), together=st.integers(1, 40))
+@settings(max_examples=200, deadline=None)
+def test_long_texts_are_cut_where_no_match_crosses(text, together):
+    with mock.patch.object(tokenize, "TOGETHER", together):
+        assert PackedEncoder(FILE)(text) == np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
