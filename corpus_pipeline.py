@@ -18,6 +18,8 @@ from quern.llm.packing import pack_documents
 
 #: Score from which a document is predicted toxic, or good.
 THRESHOLD = 0.7
+#: Bytes of encoded parts that a worker keeps in the last stage: less than the operator does alone, as workers have grown by then.
+PACKING_BYTES = 24 << 20
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their ids and places in sequences of 2048 tokens; ``packing.assemble`` joins them up."""
-    return pack_documents(docs, tokenizer_file=public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return pack_documents(docs, tokenizer_file=public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, kept_bytes=PACKING_BYTES)
 
 
 STAGES = [
