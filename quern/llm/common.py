@@ -7,6 +7,7 @@ import sys
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +90,33 @@ class Bitmap:
         return found.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__row", "__hash", "__bits")
 
 
+class SharedBits:
+    """A bitmap of 64-bit hashes for Python workers, broadcast; of at most ``BITMAP_BITS`` bits, however many hashes there are."""
+
+    def __init__(self, spark, bits: np.ndarray, rows: int):
+        self.rows, self.shared = rows, spark.sparkContext.broadcast(bits)
+
+    def hit(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes (unsigned) are in the table; others hit by chance, more often the fuller it is."""
+        place = (hashes >> np.uint64(15) & np.uint64(self.rows - 1)) << np.uint64(12) | (hashes & np.uint64(_ROW_BITS - 1)) >> np.uint64(3)
+        return (self.shared.value[place] >> (hashes & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+    def destroy(self) -> None:
+        self.shared.destroy()
+
+
+def shared_bits(hashes: DataFrame, column: str, n: int, most_bits: int = BITMAP_BITS) -> SharedBits:
+    """The ``n`` hashes (well mixed longs) of a table as a :class:`SharedBits`; the driver gets the bits, of bounded size, never the hashes."""
+    rows = 1
+    while rows * _ROW_BITS < min(16 * n, most_bits):
+        rows *= 2
+    placed = hashes.select(F.pmod(F.shiftright(column, 15), F.lit(rows)).alias("row"), F.col(column).bitwiseAND(F.lit(_ROW_BITS - 1)).alias("bit"))
+    bits = np.zeros((rows, _ROW_BITS // 8), np.uint8)
+    for found in placed.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        bits[found["row"]] = np.frombuffer(found["bits"], np.uint8)
+    return SharedBits(hashes.sparkSession, bits.ravel(), rows)
+
+
 def joined(df: DataFrame, keys: DataFrame, n_keys: int, column: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join with ``keys`` (a stored table that does not repeat ``column``); of many keys only the rows that can match are shuffled."""
     if n_keys <= limit:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import quality, toxicity, warc
 from quern.llm.bpe import round_trip
+from quern.llm.collocations import collocations
 from quern.llm.common import shared_folder
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.jaccard import jaccard_components
@@ -76,6 +77,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), rank_file=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +94,7 @@ QUERIES = {
         op8_warc_revisits,
         op9_token_counts,
         op10_quality,
+        op11_collocations,
     )
 }
 
@@ -194,6 +200,41 @@ ORACLE_SQL = {
         FROM sets s JOIN reached r USING (doc_id)
         GROUP BY s.doc_id
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), split AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+        ), counts AS (
+            SELECT lang, phrase, size, count(*) AS f
+            FROM (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+                  FROM split, (VALUES (1), (2), (3)) AS s(size))
+            GROUP BY ALL
+        ), words AS (
+            SELECT lang, sum(f) AS n FROM counts WHERE size = 1 GROUP BY lang
+        ), candidates AS (
+            SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= 10
+        ), cuts AS (
+            SELECT *, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+            FROM candidates, (VALUES (1), (2)) AS s(k) WHERE k < size
+        ), scored AS (
+            SELECT c.lang, c.phrase, c.w, c.size, c.a, c.k, l.f AS l, r.f AS r,
+                   CAST(1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+            FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.first JOIN counts r ON r.lang = c.lang AND r.phrase = c.rest
+        ), chosen AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), within AS (
+            SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM candidates WHERE size = 3
+        ), kept AS (
+            SELECT * FROM chosen c
+            WHERE NOT EXISTS (SELECT 1 FROM within x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.a >= 50 * c.a)
+        )
+        SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+        FROM kept k JOIN words USING (lang)
+        QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+    """,
     "op8_warc_revisits": """
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
