@@ -15,6 +15,7 @@ from quern.llm.jaccard import jaccard_components
 from quern.llm.knn import top_k
 from quern.llm.packing import pack_documents
 from quern.llm.quotes import link_conversations
+from quern.llm.repeats import remove_repeats
 from quern.llm.token_counts import token_counts
 
 
@@ -81,6 +82,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +101,7 @@ QUERIES = {
         op9_token_counts,
         op10_quality,
         op11_collocations,
+        op12_repeated_passages,
     )
 }
 
@@ -235,6 +242,24 @@ ORACLE_SQL = {
         FROM kept k JOIN words USING (lang)
         QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) <= 2000
     """,
+    "op12_repeated_passages": r"""
+        WITH split AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, unnest(range(1, len(w) - 18)) AS start, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS words
+            FROM split WHERE len(w) >= 20
+        ), repeated AS (
+            SELECT doc_id, start FROM windows QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, start) > 1
+        ), removed AS (
+            SELECT DISTINCT doc_id, start + k AS i FROM repeated, range(20) AS r(k)
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN removed USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM split LEFT JOIN (SELECT doc_id, count(*) AS n FROM removed GROUP BY doc_id) USING (doc_id) LEFT JOIN kept k USING (doc_id)
+    """,
     "op8_warc_revisits": """
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
