@@ -13,6 +13,7 @@ from quern.llm.common import shared_folder
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.jaccard import jaccard_components
 from quern.llm.knn import top_k
+from quern.llm.lexical import ranked_search
 from quern.llm.packing import pack_documents
 from quern.llm.quotes import link_conversations
 from quern.llm.repeats import remove_repeats
@@ -87,6 +88,10 @@ def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,6 +107,7 @@ QUERIES = {
         op10_quality,
         op11_collocations,
         op12_repeated_passages,
+        op13_ranked_search,
     )
 }
 
@@ -260,6 +266,26 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
         FROM split LEFT JOIN (SELECT doc_id, count(*) AS n FROM removed GROUP BY doc_id) USING (doc_id) LEFT JOIN kept k USING (doc_id)
     """,
+    "op13_ranked_search": r"""
+        WITH tf AS (
+            SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents) GROUP BY ALL
+        ), lengths AS (
+            SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id
+        ), whole AS (
+            SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term
+        ), asked AS (
+            SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+        ), scored AS (
+            SELECT item_id, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+            FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (doc_id), whole
+            GROUP BY item_id, doc_id
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        WHERE rank <= 20
+    """,
     "op8_warc_revisits": """
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
