@@ -4,12 +4,14 @@ tables of bounded size that a Python worker keeps."""
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Hashable
+import threading
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.session import shared_folder
@@ -20,29 +22,51 @@ BROADCAST_ROWS = 500_000
 KEPT_BYTES = 48 << 20
 #: Characters or bytes of a key beyond which its result is not kept.
 KEPT_KEY = 100
-#: Rows in a batch for Python workers, in steps that are computed at once.
-ARROW_ROWS = 1000
-_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bits of a bitmap of hashes at most: 64 MB.
 BITMAP_BITS = 1 << 29
 #: Bits in each row of a bitmap, as Spark's bitmap functions have it.
 _ROW_BITS = 1 << 15
 
 
+class _Settings:
+    """Session settings that hold while any table is being written, however many threads do that at once."""
+
+    def __init__(self, **values: str):
+        self.values, self.lock, self.users, self.before = values, threading.Lock(), 0, {}
+
+    @contextmanager
+    def hold(self, conf) -> Iterator[None]:
+        with self.lock:
+            if not self.users:
+                self.before = {name: conf.get(name) for name in self.values}
+                for name, value in self.values.items():
+                    conf.set(name, value if int(self.before[name]) <= 0 else str(min(int(value), int(self.before[name]))))
+            self.users += 1
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.users -= 1
+                if not self.users:
+                    for name, value in self.before.items():
+                        conf.set(name, value)
+
+
+#: Rows in a batch for Python workers and in one read from Parquet, in steps that are computed at once.
+_SMALL_BATCHES = _Settings(**{"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.columnarReaderBatchSize": "512"})
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, with no lineage, and safe against lost executors.
 
-    While it is computed, Spark hands at most ``ARROW_ROWS`` rows at once to Python workers: texts are long, and each
-    batch is held several times over on either side.
+    While it is computed, Spark reads and hands to Python workers a few hundred rows at once: texts are long, and each
+    batch is held several times over on either side. Threads that write at once share these settings, and the last one
+    to end puts back what was there before.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
-    before = spark.conf.get(_ARROW_ROWS)
-    spark.conf.set(_ARROW_ROWS, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
-    try:
+    with _SMALL_BATCHES.hold(spark.conf):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +88,17 @@ def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def without_texts(docs: DataFrame, text_col: str, rejected: Column) -> DataFrame:
+    """The rows of ``docs`` whose text ``rejected``, an expression of ``text_col`` alone, is not true of; null counts as empty.
+
+    The expression is computed over the texts alone, and only digests of those rejected are stored. The rows are then read by
+    themselves, so no row waits for a Python worker while it is copied.
+    """
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    keys = written(docs.select(text_col).where(rejected).select(digest.alias("__key")).distinct())
+    return without(docs.select(digest.alias("__key"), F.struct("*").alias("__row")), keys, keys.count(), "__key").select("__row.*")
+
+
 class Bitmap:
     """Which values of a column occur in a table, as one bit for the hash of each: broadcast however many values there are.
 

@@ -166,27 +166,32 @@ def local_forest(ids: np.ndarray, sizes: np.ndarray, elements: np.ndarray, side:
     return sorted({(int(ids[x]), smallest[root(x)]) for x in range(n) if int(ids[x]) != smallest[root(x)]})
 
 
+def _mark(text_col: str) -> Column:
+    """A hash that tells texts of one id apart."""
+    return F.xxhash64(text_col)
+
+
 def _sets(docs: DataFrame, percent: int) -> DataFrame:
-    """``id``, ``n``, a 128-bit digest and the ``prefix`` of each set; of small ones the ``elements`` too."""
-    names = ["id", "n", "h1", "h2", "prefix", "elements"]
+    """``id``, ``mark``, ``n``, a 128-bit digest and the ``prefix`` of each set; of small ones the ``elements`` too."""
+    names = ["id", "mark", "n", "h1", "h2", "prefix", "elements"]
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget_tables()
         for frame in frames:
             rows, held = [], 0
-            for key, text in zip(frame["id"], frame["text"], strict=True):
+            for key, mark, text in zip(frame["id"], frame["mark"], frame["text"], strict=True):
                 s = shingles(text)
                 sums = np.array([s.sum(dtype=np.uint64), mixed(s + np.uint64(1)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
                 prefix = s[: prefix_length(len(s), percent)].view(np.int64)
-                rows.append((key, len(s), int(sums[0]), int(sums[1]), prefix, s.tobytes() if len(s) <= SMALL_AT_MOST else None))
+                rows.append((key, mark, len(s), int(sums[0]), int(sums[1]), prefix, s.tobytes() if len(s) <= SMALL_AT_MOST else None))
                 held += len(prefix)
                 if held > HELD_HASHES:
                     yield pd.DataFrame(rows, columns=names)
                     rows, held = [], 0
             yield pd.DataFrame(rows, columns=names)
 
-    schema = "id string, n long, h1 long, h2 long, prefix array<long>, elements binary"
-    return docs.mapInPandas(digest, schema).withColumn("id", F.col("id").cast("long"))
+    schema = "id string, mark long, n long, h1 long, h2 long, prefix array<long>, elements binary"
+    return docs.select("id", _mark("text").alias("mark"), "text").mapInPandas(digest, schema).withColumn("id", F.col("id").cast("long"))
 
 
 def _subsets(small: DataFrame, percent: int) -> DataFrame:
@@ -306,22 +311,46 @@ def _verified(docs: DataFrame, placed: DataFrame, n_placed: int, percent: int) -
     return sent.groupBy("block", "class", "across", "i", "j").applyInPandas(solve, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``component_id`` for every row of ``docs``, as a stored table.
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), _mark(text_col).alias("mark"), F.col(text_col).alias("text"))
 
-    Two documents are linked when 100 * |common shingles| >= ``percent`` * |all their shingles|; ``component_id`` is
-    the smallest id that links lead to, the document's own included. A null or empty text, or one of white space
-    alone, has no shingles and no links. ``id_col`` must be an integer that names a text; rows that repeat an id
-    with its text get equal results. Rows with a null id get a null component. Other columns are ignored; an empty
-    table gives no rows. ``percent`` may be 75 or more.
-    """
+
+def _own_names(sets: DataFrame) -> tuple[DataFrame, int] | None:
+    """For each text of an id that bears several: ``id``, ``mark`` and a number ``name`` that no row has as its id. They
+    follow the order of the ids. None if no id bears two texts; else a stored table and how many rows it has."""
+    several = sets.where("id is not null").groupBy("id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("id")
+    several = written(several)
+    n = several.count()
+    if not n:
+        remove_written(several)
+        return None
+    largest = sets.agg(F.max("id")).first()[0]
+    if largest >= 1 << 62:
+        raise ValueError("ids that bear several texts need free numbers: the largest id must be below 2**62")
+    texts = joined(sets.select("id", "mark"), several, n, "id").distinct().orderBy("id", "mark")
+    names = written(texts.withColumn("name", F.lit(largest + 1) + F.monotonically_increasing_id()))
+    remove_written(several)
+    return names, names.count()
+
+
+def _named(rows: DataFrame, names: DataFrame, n_names: int) -> DataFrame:
+    """``rows`` with ``name`` in place of ``id`` where there is one."""
+    return rows.join(sized(names, n_names), ["id", "mark"], "left").withColumn("id", F.coalesce("name", F.col("id"))).drop("name")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, tile_shingles: int) -> tuple[DataFrame, bool]:
+    """``id``, ``mark``, ``n``, ``component`` (an id) and ``stays`` (true for one text in each component) of every row of
+    ``docs``, as a stored table; and whether an id bears two texts, so that only ``id`` and ``mark`` tell rows apart."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be from 75 to 100")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(_sets(texts.withColumn("id", F.col("id").cast("string")), percent))  # pandas would turn nulls into floats
+    texts = _texts(docs, id_col, text_col)
+    sets = given = written(_sets(texts.withColumn("id", F.col("id").cast("string")), percent))  # pandas would turn nulls into floats
+    own = _own_names(given)
+    if own:
+        sets, texts = _named(given, *own), _named(texts, *own)
     named = sets.where("n > 0 and id is not null")
     same = written(named.groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"))
-    folded = sets.select("id", "n", "h1", "h2").join(sized(same, same.count()), ["h1", "h2", "n"], "left").select("id", "n", "first")
+    folded = sets.select("id", "mark", "n", "h1", "h2").join(sized(same, same.count()), ["h1", "h2", "n"], "left").select("id", "mark", "n", "first")
     copies = written(folded.where("first < id").select("id").distinct())
     again = written(named.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"))
     n_again = again.count()
@@ -340,17 +369,52 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = links.unionByName(_small_edges(once.where(F.col("n") <= boundary), percent))
     groups = components(links)
     first = F.when(F.col("id").isNotNull(), F.coalesce(F.col("first"), F.col("id")))
-    by_first = folded.select(F.col("id").alias("__id"), F.col("n").alias("n_shingles"), first.alias("id"))
-    found = by_first.join(sized(groups, groups.count()), "id", "left").select(
-        F.col("__id").alias(id_col), "n_shingles", F.coalesce("component", F.col("id")).alias("component_id")
-    )
-    out = written(found)
-    remove_written(sets, same, copies, again, edges, meetings, placed, groups)
+    found = folded.select(F.col("id").alias("text_id"), "mark", "n", first.alias("id")).join(sized(groups, groups.count()), "id", "left")
+    found = found.select(F.col("text_id").alias("id"), "mark", "n", F.coalesce("component", F.col("id")).alias("component"))
+    if own:
+        out = _with_ids(found, *own)
+    else:
+        out = written(found.withColumn("stays", F.coalesce(F.col("id") == F.col("component"), F.lit(True))))
+    remove_written(given, same, copies, again, edges, meetings, placed, groups, *([own[0]] if own else []))
+    return out, bool(own)
+
+
+def _with_ids(found: DataFrame, names: DataFrame, n_names: int) -> DataFrame:
+    """Rows of :func:`_linked` in which ``id`` and ``component`` may be names of texts, with the ids in their place."""
+    found = written(found)
+    ids = names.select(F.col("id").alias("real"), F.col("name").alias("id"))
+    among = found.select("id", "component").distinct().join(sized(ids, n_names), "id")
+    least = written(among.groupBy("component").agg(F.min(F.struct("real", "id")).alias("least")))
+    lowest = F.when(F.col("least").isNull() | (F.col("component") < F.col("least.real")), F.struct(F.col("component").alias("real"), F.col("component").alias("id"))).otherwise(F.col("least"))
+    named = found.join(sized(ids, n_names), "id", "left").join(sized(least, least.count()), "component", "left").withColumn("lowest", lowest)
+    stays = F.coalesce(F.col("id") == F.col("lowest.id"), F.lit(True))
+    out = written(named.select(F.coalesce("real", F.col("id")).alias("id"), "mark", "n", F.col("lowest.real").alias("component"), stays.alias("stays")))
+    remove_written(found, least)
     return out
 
 
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """``id_col``, ``n_shingles`` and ``component_id`` for every row of ``docs``, as a stored table.
+
+    Two documents are linked when 100 * |common shingles| >= ``percent`` * |all their shingles|; ``component_id`` is
+    the smallest id that links lead to, the document's own included. A null or empty text, or one of white space
+    alone, has no shingles and no links. ``id_col`` must be an integer. Rows that repeat an id with its text get equal
+    results; rows that repeat an id with another text are documents of their own, linked by their texts alone, and
+    each has a component of its own. Rows with a null id get a null component. Other columns are ignored; an empty
+    table gives no rows. ``percent`` may be 75 or more.
+    """
+    linked, _ = _linked(docs, id_col, text_col, percent, tile_shingles)
+    return linked.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` of one document in each component, the one whose id names it; rows with a null id stay."""
-    groups = jaccard_components(docs, id_col, text_col, percent=percent)
-    dropped = written(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    return without(docs, dropped, dropped.count(), id_col).select(*docs.columns)
+    """The rows of ``docs`` of one text in each component, the one with the smallest id, all of them where it is repeated; rows
+    with a null id stay. Where an id bears several texts each is judged for itself, so none goes but for a linked one that stays."""
+    linked, several = _linked(docs, id_col, text_col, percent, TILE_SHINGLES)
+    row_id = F.col(id_col).cast("long")
+    key = F.struct(row_id.alias("id"), _mark(text_col).alias("mark")) if several else row_id
+    dropped = written(linked.where("not stays").select((F.struct("id", "mark") if several else F.col("id")).alias("__key")).distinct())
+    whole = docs.select(key.alias("__key"), F.struct("*").alias("__row"))
+    out = without(whole, dropped, dropped.count(), "__key").select("__row.*")
+    remove_written(linked)
+    return out

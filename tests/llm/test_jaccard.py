@@ -110,3 +110,49 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert kept.columns == docs.columns
     assert sorted((repr(r["doc_id"]) for r in kept.collect())) == ["3", "7", "None"]
     assert jaccard_components(docs.limit(0)).collect() == []
+
+
+def test_ids_that_bear_several_texts_lose_none_of_them(spark):
+    a, b = "the first text says one thing and then another.", "quite another text that has nothing to do with it."
+    docs = spark.createDataFrame([(2, a), (5, a), (5, b), (7, b)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(docs).select("doc_id", "component_id").collect())) == [(2, 2), (5, 2), (5, 5), (7, 5)]
+    assert sorted(map(tuple, representatives(docs).collect())) == [(2, a), (5, b)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rows_with_clashing_ids_are_linked_as_rows(spark, seed):
+    rng = random.Random(seed)
+    bases = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([3, 8, 60]))] for _ in range(12)]
+    rows = []
+    for _ in range(150):
+        words = list(rng.choice(bases))
+        if rng.random() < 0.5:
+            words[rng.randrange(len(words))] = "x"
+        rows.append((rng.randrange(-5, 40), " ".join(words)))
+    rows += [(3, ""), (3, None), (100, " "), rows[0], rows[0], (rows[1][0], rows[1][1].upper())]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows] + [(None, rows[0][1], 1, 2)], "doc_id long, text string, mark int, stays int").repartition(5)
+    got = [tuple(r) for r in jaccard_components(docs).collect() if r["doc_id"] is not None]
+    assert sorted(got) == plain.jaccard_components(rows)
+    left = representatives(docs).collect()
+    assert left[0].asDict().keys() == {"doc_id", "text", "mark", "stays"}
+    kept = {(r["doc_id"], r["text"]) for r in left if r["doc_id"] is not None}
+    assert sum(r["doc_id"] is None for r in left) == 1 and kept <= set(rows)
+    groups = row_groups(rows)  # every group of linked rows keeps one text, of its smallest id
+    for members in groups:
+        stay = {rows[k] for k in members} & kept
+        texts = {rows[k] for k in members}
+        assert len(stay) == 1 and min(key for key, _ in texts) == next(iter(stay))[0]
+
+
+def row_groups(rows):
+    sets = [plain.shingles(text) for _, text in rows]
+    group = list(range(len(rows)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s and sets[j] and 100 * len(s & sets[j]) >= 75 * len(s | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    found = {}
+    for k, g in enumerate(group):
+        found.setdefault(g if sets[k] else ("alone", rows[k]), []).append(k)
+    return found.values()
