@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import quality, toxicity
-from quern.llm.common import written
+from quern.llm.common import remove_written, without_texts, written
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.jaccard import representatives
 from quern.llm.packing import pack_documents
@@ -34,7 +34,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not predict toxic."""
     model = toxicity.fit_on_labels(docs, _labels(spark, sf_dir))
-    return docs.where(toxicity.scores(model, "text") < THRESHOLD)
+    return without_texts(docs, "text", toxicity.scores(model, "text") >= THRESHOLD)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit_on_labels(docs, _labels(spark, sf_dir))
     if not model.two_classes:
         return docs
-    return docs.where(quality.scores(model, "text") >= THRESHOLD)
+    return without_texts(docs, "text", quality.scores(model, "text") < THRESHOLD)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage has stored goes as soon as the next one's result is there; the pieces that rows are read from stay."""
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        remove_written(*stored)
+        stored = [docs]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove_written(*stored)
+    return out
