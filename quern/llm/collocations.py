@@ -6,8 +6,8 @@ sums them up to the counts of all shorter phrases, since a phrase occurs just wh
 explosion of n-grams by length.
 
 Most windows of a corpus occur once, and a phrase that occurs fewer than ``min_count`` times is never reported. So a
-window also ends where two neighbouring words do not stand together that often, which is looked up in a bitmap of
-the hashes of frequent pairs. A false hit costs a longer window and changes no count: every occurrence of a pair hits alike.
+window also ends where its words do not stand together that often, which is looked up in bitmaps of the hashes of
+frequent runs of two, three... words. A false hit costs a longer window and changes no count: every occurrence of a run hits alike.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import forget_tables, remove_written, shared_bits, written
+from quern.llm.common import SharedBits, forget_tables, remove_written, shared_bits, written
 from quern.llm.shingles import mixed
 
 #: The characters at which texts are cut into pieces, and a language where none is given.
@@ -29,7 +29,8 @@ CUTS, UNDETERMINED = ".,;:!?\n\x0b\x0c\r", "und"
 _CUT = bytes.maketrans(CUTS.encode(), b"\n" * len(CUTS))
 #: Characters of text that are taken apart together, and entries after which a task hands on its counts.
 TOGETHER, HELD = 1_000_000, 100_000
-_FIRST, _SECOND = (np.uint64(xxhash.xxh3_64_intdigest(b"pair %d" % i) | 1) for i in range(2))
+#: Parts of a language that are ranked apart first.
+PARTS = 64
 
 
 def pieces(text: str) -> Iterator[list[bytes]]:
@@ -55,27 +56,44 @@ def by_language(frame: pd.DataFrame) -> Iterator[tuple[str, list[bytes], np.ndar
                 words, sizes, held = [], [], 0
 
 
-def pair_hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    """A hash for each word but the last: of the language, the word and the next one."""
+def run_hashes(h: np.ndarray, lang: str, size: int) -> np.ndarray:
+    """A hash of the language and every ``size`` consecutive words, given the words' hashes."""
+    n = max(0, len(h) - size + 1)
+    total = np.full(n, xxhash.xxh3_64_intdigest(f"{size} {lang}"), np.uint64)
+    for i in range(size):
+        total += h[i : i + n] * np.uint64(xxhash.xxh3_64_intdigest(b"word %d" % i) | 1)
+    return mixed(total)
+
+
+def reached(words: list[bytes], goes_on: np.ndarray, lang: str, bits: list[SharedBits]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For 1, 2... words where a run of so many begins that is frequent by ``bits`` (of 2, 3... words), with all runs
+    within it; and the hashes of the runs one word longer that are frequent but for one of all their words."""
     h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
-    return mixed(h[:-1] * _FIRST + h[1:] * _SECOND + np.uint64(xxhash.xxh3_64_intdigest(lang)))
+    begins, next_to = [np.ones(len(words), bool)], goes_on[:-1]
+    for size, frequent in enumerate(bits, 2):
+        hit = np.zeros(len(next_to), bool)
+        hit[next_to] = frequent.hit(run_hashes(h, lang, size)[next_to])
+        begins.append(np.concatenate([hit, np.zeros(len(words) - len(hit), bool)]))
+        next_to = hit[:-1] & hit[1:]
+    return begins, run_hashes(h, lang, len(bits) + 2)[next_to]
 
 
-def _frequent_pairs(texts: DataFrame, min_count: int) -> DataFrame:
-    """``hash`` of each pair of neighbouring words that is met ``min_count`` times or more in a language."""
+def _frequent_runs(texts: DataFrame, bits: list[SharedBits], min_count: int) -> DataFrame:
+    """``hash`` of each run one word longer than those of ``bits`` that a language has ``min_count`` times or more."""
 
-    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget_tables()
         for frame in frames:
             for lang, words, goes_on in by_language(frame):
-                found, k = np.unique(pair_hashes(lang, words)[goes_on[:-1]].view(np.int64), return_counts=True)
+                found, k = np.unique(reached(words, goes_on, lang, bits)[1].view(np.int64), return_counts=True)
                 yield pd.DataFrame({"hash": found, "k": k})
 
-    return texts.mapInPandas(pairs, "hash long, k long").groupBy("hash").agg(F.sum("k").alias("k")).where(F.col("k") >= min_count).select("hash")
+    return texts.mapInPandas(runs, "hash long, k long").groupBy("hash").agg(F.sum("k").alias("k")).where(F.col("k") >= min_count).select("hash")
 
 
-def _windows(texts: DataFrame, bits, max_words: int) -> DataFrame:
-    """Counts ``k`` of windows: ``lang`` and the columns ``w0``, ``w1``... of ``max_words`` words, padded with empty ones."""
+def _windows(texts: DataFrame, bits: list[SharedBits]) -> DataFrame:
+    """Counts ``k`` of windows: ``lang`` and a column for each word, ``w0``, ``w1``..., padded with empty ones."""
+    max_words = len(bits) + 1
     columns = [f"w{i}" for i in range(max_words)]
 
     def frame_of(lang: str, counts: Counter) -> pd.DataFrame:
@@ -87,16 +105,10 @@ def _windows(texts: DataFrame, bits, max_words: int) -> DataFrame:
         counts: dict[str, Counter] = {}
         for frame in frames:
             for lang, words, goes_on in by_language(frame):
-                goes_on[:-1] &= bits.hit(pair_hashes(lang, words))
-                own = counts.setdefault(lang, Counter())
-                here = np.ones(len(words), bool)  # where a window has at least so many words
+                begins, own = [*reached(words, goes_on, lang, bits)[0], np.zeros(len(words), bool)], counts.setdefault(lang, Counter())
                 for size in range(1, max_words + 1):
-                    further = np.zeros(len(words), bool)
-                    if size < max_words:
-                        further[: len(words) - size + 1] = here[: len(words) - size + 1] & goes_on[size - 1 :]
-                    at = np.flatnonzero(here & ~further).tolist()
+                    at = np.flatnonzero(begins[size - 1] & ~begins[size]).tolist()
                     own.update(zip(*([words[i + j] for i in at] for j in range(size)), strict=True))
-                    here = further
                 if sum(map(len, counts.values())) > HELD:
                     for key, held in counts.items():
                         yield frame_of(key, held)
@@ -112,10 +124,13 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """``lang``, ``phrase``, ``n_words`` and ``f`` of every phrase of up to ``max_words`` words that occurs ``min_count``
     times or more in a language, and a row with ``n_words`` 0 for all words of the language. A stored table."""
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    frequent = written(_frequent_pairs(texts, min_count))
-    bits = shared_bits(frequent, "hash", frequent.count())
+    bits: list[SharedBits] = []
+    for _ in range(max_words - 1):
+        frequent = written(_frequent_runs(texts, bits, min_count))
+        bits.append(shared_bits(frequent, "hash", frequent.count()))
+        remove_written(frequent)
     columns = [f"w{i}" for i in range(max_words)]
-    windows = _windows(texts, bits, max_words).groupBy("lang", *columns).agg(F.sum("k").alias("k"))
+    windows = _windows(texts, bits).groupBy("lang", *columns).agg(F.sum("k").alias("k"))
     sums = docs.sparkSession.sql(
         f"SELECT lang, {', '.join(columns)}, grouping_id() AS left_out, sum(k) AS f FROM {{windows}} GROUP BY lang, ROLLUP({', '.join(columns)})", windows=windows
     )
@@ -124,8 +139,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     phrase = F.array_join(F.slice(F.array(*columns), F.lit(1), F.col("n_words")), " ")
     counted = sums.withColumn("n_words", n_words).where((last_word != "") & ((F.col("f") >= min_count) | (F.col("n_words") == 0)))
     out = written(counted.select("lang", phrase.alias("phrase"), "n_words", "f"))
-    bits.destroy()
-    remove_written(frequent)
+    for frequent in bits:
+        frequent.destroy()
     return out
 
 
@@ -166,6 +181,8 @@ def collocations(
     within = F.flatten(F.transform(size, lambda s: F.transform(start(s), lambda i: F.array_join(F.slice("__w", i, s), " "))))
     longer = candidates.where("n_words > 2").select("lang", F.explode(within).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("__longer"))
     kept = scored.join(longer, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("__longer") < absorbed_percent * F.col("a"), F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    order = [F.desc("cut.score"), F.desc("a"), F.col("phrase")]
+    for groups in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))], ["lang"]):  # so that the last window has a bounded number of rows
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("rank") <= per_language)
+    ranked = kept
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").cast("long").alias("score"))
