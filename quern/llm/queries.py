@@ -140,7 +140,7 @@ ORACLE_SQL = {
             WHERE NOT (level = 0 AND coalesce(next_level, -1) > 0 AND regexp_matches(line, '(?i)\bwrote:[ \t]*$'))
             WINDOW w AS (PARTITION BY m ORDER BY i)
         ), runs AS (
-            SELECT conv_id, turn, m, level, lower(string_agg(content, ' ' ORDER BY i)) AS text
+            SELECT conv_id, turn, m, level, lower(string_agg(content, ' ' ORDER BY i)) AS text, list(lower(content) ORDER BY i) AS passage
             FROM (SELECT *, sum(CASE WHEN coalesce(last_content, '') = '' OR last_level <> level THEN 1 ELSE 0 END) OVER (PARTITION BY m ORDER BY i) AS run FROM lines)
             WHERE content <> ''
             GROUP BY conv_id, turn, m, level, run
@@ -148,9 +148,21 @@ ORACLE_SQL = {
             SELECT conv_id, turn, md5(lower(content)) AS hash FROM lines WHERE level = 0 AND content <> ''
             UNION SELECT conv_id, turn, md5(text) FROM runs WHERE level = 0
             UNION SELECT conv_id, turn, md5(lower(string_agg(content, ' ' ORDER BY i))) FROM lines WHERE level = 0 AND content <> '' GROUP BY conv_id, turn, m
-        ), quoted AS (
-            SELECT r.conv_id, r.turn, r.level, (SELECT max(s.turn) FROM said s WHERE s.conv_id = r.conv_id AND s.turn < r.turn AND s.hash = md5(r.text)) AS source
+        ), own AS (
+            SELECT conv_id, turn, list(lower(content) ORDER BY i) AS own FROM lines WHERE level = 0 AND content <> '' GROUP BY conv_id, turn, m
+        ), units AS (
+            SELECT r.*, (SELECT max(s.turn) FROM said s WHERE s.conv_id = r.conv_id AND s.turn < r.turn AND s.hash = md5(r.text)) AS unit
             FROM runs r WHERE r.level > 0
+        ), missed AS (
+            SELECT DISTINCT conv_id, turn, passage FROM units WHERE unit IS NULL AND len(passage) > 1
+        ), stretches AS (
+            SELECT q.conv_id, q.turn, q.passage, max(o.turn) AS stretch
+            FROM missed q JOIN own o ON o.conv_id = q.conv_id AND o.turn < q.turn
+            WHERE len(list_filter(range(1, len(o.own) - len(q.passage) + 2), lambda s: o.own[s:s + len(q.passage) - 1] = q.passage)) > 0
+            GROUP BY ALL
+        ), quoted AS (
+            SELECT u.conv_id, u.turn, u.level, coalesce(u.unit, s.stretch) AS source
+            FROM units u LEFT JOIN stretches s ON u.unit IS NULL AND s.conv_id = u.conv_id AND s.turn = u.turn AND s.passage = u.passage
         ), counted AS (
             SELECT conv_id, turn, count(*) AS n_quoted, count(source) AS n_linked FROM quoted GROUP BY ALL
         ), chosen AS (

@@ -84,11 +84,15 @@ def own_units(lines: Column, runs: Column) -> Column:
     return F.array_distinct(F.transform(texts, F.md5))
 
 
-def own_stretches(lines: Column, n: Column) -> Column:
-    """Hashes of every ``n`` lines that follow one another in what a message itself says, blank and quoted ones left out."""
-    own = F.transform(F.filter(lines, lambda x: (x["level"] == 0) & (x["content"] != "")), lambda x: F.lower(x["content"]))
-    starts = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.md5(F.array_join(F.slice(own, i, n), "\n"))))
+def own_lines(lines: Column) -> Column:
+    """Hashes of the lines that a message itself says, blank and quoted ones left out."""
+    return F.transform(F.filter(lines, lambda x: (x["level"] == 0) & (x["content"] != "")), lambda x: F.md5(F.lower(x["content"])))
+
+
+def stretches(lines: Column, wanted: Column) -> Column:
+    """Hashes of stretches of ``lines`` (hashes), for each entry of ``wanted`` those of ``n`` lines that begin with the line ``first``."""
+    starts = lambda w: F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(lines) - w["n"] + 1)), lambda i: F.get(lines, i - 1) == w["first"])
+    return F.array_distinct(F.flatten(F.transform(wanted, lambda w: F.transform(starts(w), lambda i: F.md5(F.array_join(F.slice(lines, i, w["n"]), ""))))))
 
 
 def quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
@@ -98,17 +102,21 @@ def quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     units = parsed(messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("__text")), "__text")
     units = units.where("conv is not null and turn is not null")
     quoted = units.select("conv", "turn", F.explode(F.filter("__runs", lambda r: r["level"] > 0)).alias("r"))
-    quoted = quoted.select("conv", "turn", F.col("r.level").alias("level"), F.md5(F.col("r.text")).alias("hash"), F.md5(F.col("r.passage")).alias("passage"), F.col("r.n").alias("n"))
+    quoted = quoted.select("conv", "turn", F.col("r.level").alias("level"), F.md5(F.col("r.text")).alias("hash"), F.col("r.passage").alias("passage"), F.col("r.n").alias("n"))
+    each = F.transform(F.split("passage", "\n"), F.md5)
+    quoted = quoted.withColumn("__each", each).withColumns({"passage": F.md5(F.array_join("__each", "")), "first": F.col("__each")[0]}).drop("__each")
     quoted = written(quoted.groupBy(*quoted.columns).agg(F.count("*").alias("k")))
     said = units.select("conv", "turn", F.explode(own_units(F.col("__lines"), F.col("__runs"))).alias("hash"))
     whole = written(_sources(quoted, said))
     missed = whole.where("source is null and n > 1").drop("source")
-    lengths = written(missed.groupBy("conv").agg(F.collect_set("n").alias("ns"), F.max("turn").alias("last")))
-    n = lengths.count()
+    sought = written(missed.groupBy("conv").agg(F.collect_set(F.struct("first", "n")).alias("wanted"), F.max("turn").alias("last")))
+    n = sought.count()
     if n:
-        near = units.select("conv", "turn", "__lines").join(sized(lengths, n), "conv").where("turn < last")
-        near = near.select("conv", "turn", "__lines", F.explode("ns").alias("n"))
-        parts = near.select("conv", "turn", F.explode(own_stretches(F.col("__lines"), F.col("n"))).alias("hash"))
+        near = units.select("conv", "turn", own_lines(F.col("__lines")).alias("own")).join(sized(sought, n), "conv").where("turn < last")
+        # What a message has of the first lines is found by hashing; only those are then compared line by line.
+        met = near.withColumn("met", F.array_intersect("own", F.transform("wanted", lambda w: w["first"]))).where(F.size("met") > 0)
+        met = met.withColumn("wanted", F.filter("wanted", lambda w: F.array_contains("met", w["first"])))
+        parts = met.select("conv", "turn", F.explode(stretches(F.col("own"), F.col("wanted"))).alias("hash"))
         found = _sources(missed.withColumns({"hash": F.col("passage"), "whole": F.col("hash")}), parts)
         found = found.withColumn("hash", F.col("whole"))
         whole = whole.where("source is not null or n = 1").unionByName(found.select(*whole.columns))

@@ -116,3 +116,59 @@ def test_made_conversations_give_the_rows_of_the_registered_sql(spark, check_row
     connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert got["n_linked"].sum() >= 8
     check_rows(got, connection.execute(ORACLE_SQL["op3_quotation_linking"]).fetchdf())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_conversations_give_the_rows_of_the_registered_sql(spark, check_rows, tmp_path, seed):
+    import random
+
+    import duckdb
+
+    from quern.llm.queries import ORACLE_SQL, QUERIES
+
+    rng = random.Random(seed)
+    line = lambda: rng.choice(["alpha beta", "Gamma", "gamma", "delta  e", "", "zeta", "Ann wrote:", "one two three"])
+    rows, said = [], {}
+    for turn in range(60):
+        conv, lines = rng.randrange(4), []
+        earlier = [x for t in said.get(conv, []) for x in [t] if x]
+        for _ in range(rng.randrange(4)):
+            if earlier and rng.random() < 0.7:
+                source = rng.choice(earlier)
+                at = rng.randrange(len(source))
+                part = source[at : at + rng.randrange(1, 5)]
+                mark = rng.choice(["> ", ">", "> > "])
+                lines += [mark + x for x in part] + [rng.choice(["", "so"])]
+            lines += [line() for _ in range(rng.randrange(6))]
+        said.setdefault(conv, []).append([x for x in lines if not x.startswith(">")])
+        rows.append((conv, turn, "user", "\n".join(lines)))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = QUERIES["op3_quotation_linking"](spark, str(tmp_path)).toPandas()
+    assert (got["n_linked"] > 0).sum() > 10
+    check_rows(got, connection.execute(ORACLE_SQL["op3_quotation_linking"]).fetchdf())
+    whole = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    units = written_units(spark, whole)
+    assert any(r["source"] is not None for r in units)  # some are found as stretches only
+
+
+def written_units(spark, messages):
+    """Passages of several lines that no message says as a unit, with what is found for them."""
+    own = quotes.quotations(messages).collect()
+    said = quotes.parsed(messages.withColumnRenamed("text", "__text"), "__text").select(quotes.F.explode(quotes.own_units(quotes.F.col("__lines"), quotes.F.col("__runs"))).alias("h"))
+    known = {r["h"] for r in said.collect()}
+    return [r for r in own if r["hash"] not in known]
+
+
+def test_time_grows_with_the_lines_of_a_message(spark):
+    import time
+
+    def seconds(n):
+        rows = [(1, 0, "user", "\n".join(f"line {i}" for i in range(n)), "t"), (1, 1, "user", f"> line {n // 2}\n> line {n // 2 + 1}\nyes", "t")]
+        began = time.perf_counter()
+        assert [r["reply_to"] for r in link_conversations(spark.createDataFrame(rows, SCHEMA)).collect()] == [None, 0]
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(16_000) < 2.5 * seconds(8_000) + 3
