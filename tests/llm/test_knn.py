@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,33 @@ def test_most_cells_are_ruled_out_where_vectors_lie_in_clusters(spark):
         want = sorted((i for i in range(4000) if i != query), key=lambda i: (-scores[i], i))[:5]
         assert rows.sort_values("rank")["vec_id"].tolist() == want
     assert knn.reached_share(table.limit(0), F.col("vec_id") % 50 == 0) == 0.0
+
+
+def test_frames_stay_small_and_a_query_is_sent_once_to_a_group(monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 100, (3000, 8))
+    sizes = rng.integers(1, 40, 3000)
+    group = knn.grouped(sizes, knn.near_together(centres), 500)
+    held = np.bincount(group, sizes)
+    assert held.max() <= 500 and len(held) < 1.2 * sizes.sum() / 500 + 1 and sorted(knn.near_together(centres).tolist()) == list(range(3000))
+    assert knn.grouped(np.array([900, 1, 1]), np.array([2, 0, 1]), 500).tolist() == [1, 2, 0]
+    queries = rng.integers(-300, 300, (400, 8))
+    asked = pd.DataFrame({"query_id": np.arange(400), "query": list(queries), "group": group[:400], "beat": rng.normal(0, 60_000, 400)})
+    monkeypatch.setattr(knn, "HANDED", 1000)
+    monkeypatch.setattr(knn, "BOUNDS", 20_000)
+    radius, norm = np.full(3000, 5.0), np.sqrt((centres**2).sum(1)) + 5
+    frames = list(knn.reached_groups(asked, 8, group, centres, radius, norm))
+    assert max(map(len, frames)) <= 1000 and len(frames) > 10
+    got = [(q, g) for f in frames for q, g in zip(f["query_id"], f["group"], strict=True)]
+    assert len(got) == len(set(got)) <= 400 * len(held)
+    most = knn.bounds(queries, centres, radius, norm) >= asked["beat"].to_numpy()[:, None]
+    assert set(got) == {(i, g) for i in range(400) for g in set(group[most[i]].tolist()) if g != asked["group"][i]}
+
+
+def test_blocks_give_what_all_scores_give(monkeypatch):
+    rng = np.random.default_rng(4)
+    queries, vectors = rng.integers(-50, 50, (30, 6)), rng.integers(-50, 50, (200, 6))
+    monkeypatch.setattr(knn, "SCORES", 500)
+    got = knn.best_of_block(np.arange(30), queries, np.arange(200), vectors, 5)
+    want = knn.best(np.arange(30), queries, np.arange(200), vectors, 5)
+    assert got.to_numpy().tolist() == want.to_numpy().tolist()
