@@ -2,9 +2,9 @@
 
 Only headers are shuffled by payload digest: the table of originals is a grouped maximum over (digest, record id), so a
 payload that a third of all records share costs one row per map task. Each record is a gzip member of its own, made in
-Python from bytes, so payloads need not be text. Archives are written by Spark's text writer, a member a row, with its
-commit protocol and any file system that Spark can reach; what it puts between rows is another, constant member that
-holds the blank lines which end a record. Reading goes file by file and record by record, by Content-Length.
+Python from bytes, so payloads need not be text. Archives are written by Spark's text writer, an archive a row, with its
+commit protocol and any file system that Spark can reach. Between records is another, constant member that
+holds the blank lines which end a record; the writer puts it after each row. Reading goes file by file and record by record, by Content-Length.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import io
 import re
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import BROADCAST_ROWS, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of payload in an archive, before compression; an archive is read whole by one task. A larger record has its own.
-ARCHIVE_BYTES = 256 << 20
-#: Records in an archive at most.
-RECORDS_PER_ARCHIVE = 5_000
+#: Bytes of records in an archive, before compression; one task holds an archive whole. A larger record has its own.
+ARCHIVE_BYTES = 64 << 20
+#: Records in an archive at most, and archives that the driver renames at once.
+RECORDS_PER_ARCHIVE, RENAMED_AT_ONCE = 5_000, 32
 #: Compression level; a member ends with the record's block, and the next one holds the lines between records.
 LEVEL = 6
 BETWEEN = gzip.compress(b"\r\n\r\n", LEVEL, mtime=0)
@@ -123,51 +124,64 @@ def record_bytes(row: dict) -> bytes:
 _LINE_ENDS = re.compile(r"[\r\n]+")
 
 
+class Packer:
+    """Gzip members put together to archives of at most ``most_bytes`` before compression, or of one larger record, and of at most ``most_records``."""
+
+    def __init__(self, most_bytes: int, most_records: int):
+        self.most_bytes, self.most_records = most_bytes, most_records
+        self.held, self.room = [], 0
+
+    def add(self, member: bytes, size: int) -> Iterator[bytes]:
+        """The archive that ends before a record of ``size`` bytes, if one does."""
+        if self.held and (self.room + size > self.most_bytes or len(self.held) == self.most_records):
+            yield from self.close()
+        self.held.append(member)
+        self.room += size
+
+    def close(self) -> Iterator[bytes]:
+        if self.held:
+            yield BETWEEN.join(self.held)
+            self.held, self.room = [], 0
+
+
 def write_archives(records: DataFrame, path: str, *, records_per_archive: int = RECORDS_PER_ARCHIVE, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write ``resolve_revisits`` records, each with fresh headers, as archives named ``*.warc.gz`` to the new folder ``path``.
 
-    Null headers are left out and a null payload is empty; an empty table gives a folder without archives. Records go
-    by size into at most a few classes, each of a fourfold range, and an archive takes so many of one class that their
-    payloads stay below ``archive_bytes``, or one record that is larger. The driver renames the finished files.
+    Null headers are left out and a null payload is empty; an empty table gives a folder without archives. It is one pass
+    over ``records``: a task hands each archive to Spark's text writer as a row, and the writer begins a file with each. An archive
+    holds records of at most ``archive_bytes`` before compression, or one record that is larger, and at most ``records_per_archive``.
+    Spark names the finished files ``*.txt``; the driver renames them, many at a time.
     """
-    spark = records.sparkSession
-    carried = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))
-    least = archive_bytes // records_per_archive
-    grade = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(carried, F.lit(1)) / max(1, least)) / F.log(F.lit(4.0)))).cast("int")
     names = [field.split()[0] for field in _RECORD_SCHEMA.split(", ")]
 
-    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def archives(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = Packer(archive_bytes, records_per_archive)
         for frame in frames:
-            rows = (dict(zip(names, row, strict=True)) for row in frame[names].astype(object).where(frame[names].notna(), None).itertuples(index=False, name=None))
-            held, room = [], 0
-            for row in rows:
-                held.append(gzip.compress(record_bytes(row), LEVEL, mtime=0))
-                room += len(held[-1])
-                if room > 1 << 24:
-                    yield pd.DataFrame({"member": held})
-                    held, room = [], 0
-            yield pd.DataFrame({"member": held})
+            for row in frame[names].astype(object).where(frame[names].notna(), None).itertuples(index=False, name=None):
+                record = record_bytes(dict(zip(names, row, strict=True)))
+                for archive in packer.add(gzip.compress(record, LEVEL, mtime=0), len(record)):
+                    yield pd.DataFrame({"archive": [archive]})
+        yield pd.DataFrame({"archive": list(packer.close())})
 
     as_text = [F.col(c).cast("string").alias(c) if c in ("record_id", "refers_to") else F.col(c) for c in names]  # pandas would turn nulls into floats
-    graded = records.select(*as_text, grade.alias("__grade"))
-    grades = sorted(r["__grade"] for r in graded.select("__grade").distinct().collect())
-    for g in grades or [0]:
-        per_archive = max(1, min(records_per_archive, records_per_archive // 4**g))
-        packed = graded.where(F.col("__grade") == g).mapInPandas(members, "member binary")
-        writer = packed.select(F.col("member").cast("string").alias("value")).write.mode("append")
-        writer.option("encoding", "ISO-8859-1").option("lineSep", BETWEEN.decode("latin-1")).option("maxRecordsPerFile", per_archive).text(path)
-    _rename(spark, path)
+    packed = records.select(*as_text).mapInPandas(archives, "archive binary")
+    writer = packed.select(F.col("archive").cast("string").alias("value")).write
+    writer.option("encoding", "ISO-8859-1").option("lineSep", BETWEEN.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
+    _rename(records.sparkSession, path)
 
 
 def _rename(spark: SparkSession, path: str) -> None:
-    """Spark names its text files ``*.txt``; file by file they become ``*.warc.gz``."""
+    """Spark names its text files ``*.txt``; they become ``*.warc.gz``, ``RENAMED_AT_ONCE`` at a time."""
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in store.listStatus(folder):
-        name = status.getPath().getName()
-        if name.endswith(".txt"):
-            store.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.gz"))
+    names = [name for status in store.listStatus(folder) if (name := status.getPath().getName()).endswith(".txt")]
+
+    def rename(name: str) -> None:
+        store.rename(jvm.org.apache.hadoop.fs.Path(folder, name), jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.gz"))
+
+    with ThreadPoolExecutor(RENAMED_AT_ONCE) as pool:
+        list(pool.map(rename, names))
 
 
 class _Gunzip(io.RawIOBase):
