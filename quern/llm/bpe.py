@@ -72,11 +72,15 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, *, rank_file:
 
 
 def decode_documents(encoded: DataFrame, id_col: str, *, rank_file: str, pattern: str) -> DataFrame:
-    """``id_col`` and ``bytes`` (binary): the tokens' bytes joined, which need not be valid UTF-8 for a part of a text."""
+    """``id_col`` and ``bytes`` (binary): the bytes of the tokens in ``ids`` joined, which need not be valid UTF-8 for a part of a text.
+
+    Null ``ids`` give null bytes, and none give empty ones; a null within them is an error. Repeated rows are decoded each for
+    itself; other columns are ignored. An empty table gives no rows.
+    """
 
     @pandas_udf("binary")
     def raw(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: encoding(rank_file, pattern).decode_bytes([int(i) for i in x]))
+        return pd.Series([None if x is None else encoding(rank_file, pattern).decode_bytes([int(i) for i in x]) for x in ids], dtype=object)
 
     return encoded.select(id_col, raw("ids").alias("bytes"))
 

@@ -188,7 +188,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def assemble(packed: DataFrame) -> DataFrame:
-    """``sequence_id``, ``ids`` (binary): the ids of each sequence's pieces in order. ``packed`` must hold ``ids``; a group has at most a sequence's ids."""
+    """``sequence_id``, ``ids`` (binary): the ids of each sequence's pieces in order. ``packed`` must hold ``ids``; a group has at most a sequence's ids.
+
+    Pieces with null ids add nothing to their sequence; rows without a sequence come together as one. An empty table gives no rows.
+    """
 
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(F.aggregate(parts, F.lit(b""), lambda ids, part: F.concat(ids, part["ids"])).alias("ids"))
+    return packed.groupBy("sequence_id").agg(F.aggregate(parts, F.lit(b""), lambda ids, part: F.concat(ids, F.coalesce(part["ids"], F.lit(b"")))).alias("ids"))

@@ -104,7 +104,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words are what stands between ASCII white space. Each is matched in UTF-8 with one space before it, longest piece
     first, over the tokens of ``rank_file`` and all single bytes; ``n_tokens`` is the number of pieces of all words.
-    Null and empty texts have no words. Repeated rows are counted each for itself; other columns are ignored.
+    Null and empty texts have no words. Repeated rows are counted each for itself; other columns are ignored. An empty table
+    gives no rows.
     """
 
     @pandas_udf("n_words long, n_tokens long")

@@ -291,5 +291,6 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 def deduplicated_archives(spark: SparkSession, source: str, target: str, *, min_bytes: int = 1000) -> None:
     """Read the archives below ``source`` and write them to ``target`` with repeated payloads as revisits. Links of revisits
-    to responses in other archives stay. The HTTP headers of responses are written afresh."""
+    to responses in other archives stay. The HTTP headers of responses are written afresh. Missing headers stay missing; a
+    ``source`` without archives gives a ``target`` without archives."""
     write_archives(resolve_revisits(read_archives(spark, source), min_bytes=min_bytes), target)

@@ -27,3 +27,10 @@ def test_nulls_repeats_and_other_columns(spark):
     assert sorted((repr(r["doc_id"]), bytes(r["bytes"]).decode()) for r in decoded) == [("1", "naïve café"), ("1", "naïve café"), ("2", ""), ("None", "")]
     assert sorted(r["n_tokens"] for r in round_trip(docs, "doc_id", "text", **ARGS).collect())[:2] == [0, 0]
     assert round_trip(docs.limit(0), "doc_id", "text", **ARGS).collect() == []
+
+
+def test_rows_without_ids_are_decoded_to_nothing(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [64])], "doc_id long, ids array<int>")
+    got = {r["doc_id"]: r["bytes"] for r in decode_documents(rows, "doc_id", **ARGS).collect()}
+    assert got[1] is None and bytes(got[2]) == b"" and len(got[3]) == 1
+    assert decode_documents(rows.limit(0), "doc_id", **ARGS).collect() == []
