@@ -22,13 +22,20 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, carry: lis
     shared = [F.col(key).alias("__key"), F.col(time).alias("__time"), F.date_trunc(stretch, F.col(time)).alias("__stretch")]
     known = right.where(usable).select(*shared, F.lit(None).cast(left.select(rows).schema[0].dataType).alias("__left"), seen.alias("__seen"))
     asked = left.where(usable).select(*shared, rows.alias("__left"), F.lit(None).cast(known.schema["__seen"].dataType).alias("__seen"))
-    both = known.union(asked)
-    totals = both.groupBy("__key", "__stretch").agg(F.max("__seen").alias("__total"))
+    # Both uses need all columns of the union, so Spark shuffles it once and reads that exchange twice.
+    both = known.union(asked).repartition("__key", "__stretch")
+    totals = both.groupBy("__key", "__stretch").agg(
+        F.max("__seen").alias("__total"),
+        F.min(F.when(F.col("__left").isNotNull(), F.col("__time"))).alias("__asked"),
+        F.min(F.when(F.col("__seen").isNotNull(), F.col("__time"))).alias("__known"),
+    )
     earlier = Window.partitionBy("__key").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    handed = totals.select("__key", "__stretch", F.max("__total").over(earlier).alias("__handed"))
+    handed = totals.withColumn("__handed", F.max("__total").over(earlier))
+    # Only rows before the first known one of their stretch need what came before it.
+    handed = handed.where("__handed is not null and (__asked < __known or (__asked is not null and __known is null))").select("__key", "__stretch", "__handed")
     upto = Window.partitionBy("__key", "__stretch").orderBy("__time").rangeBetween(Window.unboundedPreceding, 0)
     near = both.withColumn("__near", F.max("__seen").over(upto)).where("__left is not null")
-    found = near.join(handed, ["__key", "__stretch"]).withColumn("__last", F.coalesce("__near", "__handed"))
+    found = near.join(handed, ["__key", "__stretch"], "left").withColumn("__last", F.coalesce("__near", "__handed"))
     matched = found.select("__left.*", *(F.col(f"__last.__{c}").alias(f"{prefix}{c}") for c in carry))
     alone = left.where(~usable).select(*names, *(F.lit(None).cast(right.schema[c].dataType).alias(f"{prefix}{c}") for c in carry))
     return matched.unionByName(alone)
