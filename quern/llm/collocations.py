@@ -12,8 +12,10 @@ frequent runs of two, three... words. A false hit costs a longer window and chan
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,17 +33,38 @@ _CUT = bytes.maketrans(CUTS.encode(), b"\n" * len(CUTS))
 TOGETHER, HELD = 1_000_000, 100_000
 #: Parts of a language that are ranked apart first.
 PARTS = 64
+#: Bytes whose words are hashed together; the base of their polynomial, and its inverse modulo 2**64.
+HASHED = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64))
+_APART = np.isin(np.arange(256), list(b" \t\n"))
+
+
+def plain_bytes(text: str) -> bytes:
+    """A text in UTF-8, A-Z lower-cased, with line feeds for all characters at which it is cut."""
+    return text.encode().lower().translate(_CUT)
 
 
 def pieces(text: str) -> Iterator[list[bytes]]:
     """The words of each piece of a text, A-Z lower-cased; pieces without words are left out."""
-    for piece in text.encode().lower().translate(_CUT).split(b"\n"):
+    for piece in plain_bytes(text).split(b"\n"):
         if words := piece.split():
             yield words
 
 
-def by_language(frame: pd.DataFrame) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """Of rows with ``lang`` and ``text``: a language, words of its texts one after the other, and for each whether the next is of the same piece."""
+@dataclass(frozen=True)
+class Words:
+    """Words of texts of one language, one after the other."""
+
+    lang: str
+    distinct: list[bytes]
+    number: np.ndarray  # of each word, its place in ``distinct``
+    goes_on: np.ndarray  # whether the next word is of the same piece
+
+
+def by_language(frame: pd.DataFrame) -> Iterator[Words]:
+    """The words of rows with ``lang`` and ``text``, of some whole texts of a language at once."""
     for lang, texts in frame["text"].groupby(frame["lang"].fillna(UNDETERMINED)):
         words, sizes, held = [], [], 0
         for at, text in enumerate(texts, 1):
@@ -52,10 +75,53 @@ def by_language(frame: pd.DataFrame) -> Iterator[tuple[str, list[bytes], np.ndar
             if words and (held > TOGETHER or at == len(texts)):
                 goes_on = np.ones(len(words), bool)
                 goes_on[np.cumsum(sizes) - 1] = False
-                yield lang, words, goes_on
+                places = dict(zip(dict.fromkeys(words), itertools.count()))
+                yield Words(lang, list(places), np.fromiter(map(places.__getitem__, words), np.int64, len(words)), goes_on)
                 words, sizes, held = [], [], 0
 
 
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of :func:`plain_bytes`, a polynomial in its bytes by running sums, and for each whether the next is of the same piece."""
+    hashes, lines, begin, line = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
+    while begin < len(data):
+        end = begin + HASHED
+        if end < len(data):  # not within a word
+            while end < len(data) and not _APART[data[end]]:
+                end += 1
+        a = np.frombuffer(data, np.uint8, min(end, len(data)) - begin, begin)
+        room = HASHED
+        while room < len(a):
+            room *= 2
+        within = np.concatenate([[False], ~_APART[a], [False]])
+        edges = np.flatnonzero(within[1:] != within[:-1])
+        starts, stops = edges[::2], edges[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[a] * _powers(BASE, room)[: len(a)])])
+        hashes.append(mixed((sums[stops] - sums[starts]) * _powers(INVERSE, room)[starts]))
+        ended = np.cumsum(a == 10)
+        lines.append(ended[starts] + line)
+        line += int(ended[-1])
+        begin += len(a)
+    place = np.concatenate(lines)
+    return np.concatenate(hashes), np.append(place[1:] == place[:-1], False)[: len(place)]
+
+
+def hashed_by_language(frame: pd.DataFrame) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Of rows with ``lang`` and ``text``: a language and :func:`word_hashes` of some whole texts of it."""
+    for lang, texts in frame["text"].groupby(frame["lang"].fillna(UNDETERMINED)):
+        held, size = [], 0
+        for at, text in enumerate(texts, 1):
+            held.append(plain_bytes(text or ""))
+            size += len(held[-1])
+            if size > TOGETHER or at == len(texts):
+                yield lang, *word_hashes(b"\n".join(held))
+                held, size = [], 0
+
+
 def run_hashes(h: np.ndarray, lang: str, size: int) -> np.ndarray:
     """A hash of the language and every ``size`` consecutive words, given the words' hashes."""
     n = max(0, len(h) - size + 1)
@@ -65,27 +131,38 @@ def run_hashes(h: np.ndarray, lang: str, size: int) -> np.ndarray:
     return mixed(total)
 
 
-def reached(words: list[bytes], goes_on: np.ndarray, lang: str, bits: list[SharedBits]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For 1, 2... words where a run of so many begins that is frequent by ``bits`` (of 2, 3... words), with all runs
-    within it; and the hashes of the runs one word longer that are frequent but for one of all their words."""
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
-    begins, next_to = [np.ones(len(words), bool)], goes_on[:-1]
+def reached(h: np.ndarray, goes_on: np.ndarray, lang: str, bits: list[SharedBits]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Given hashes of words: for 1, 2... words where a run of so many begins that is frequent by ``bits`` (of 2, 3... words),
+    with all runs within it; and the hashes of the runs one word longer that are frequent but for one of all their words."""
+    begins, next_to = [np.ones(len(h), bool)], goes_on[:-1]
     for size, frequent in enumerate(bits, 2):
         hit = np.zeros(len(next_to), bool)
         hit[next_to] = frequent.hit(run_hashes(h, lang, size)[next_to])
-        begins.append(np.concatenate([hit, np.zeros(len(words) - len(hit), bool)]))
+        begins.append(np.concatenate([hit, np.zeros(len(h) - len(hit), bool)]))
         next_to = hit[:-1] & hit[1:]
     return begins, run_hashes(h, lang, len(bits) + 2)[next_to]
 
 
+def counted(words: Words, at: np.ndarray, size: int) -> Iterator[tuple[tuple[str, ...], int]]:
+    """Each distinct run of ``size`` words that begins at one of the places ``at``, and at how many of them."""
+    code = words.number[at]
+    for i in range(1, size):
+        if i > 1:  # numbered anew, so that codes stay below the square of the number of words
+            code = np.unique(code, return_inverse=True)[1]
+        code = code * len(words.distinct) + words.number[at + i]
+    _, first, k = np.unique(code, return_index=True, return_counts=True)
+    columns = ([words.distinct[j].decode() for j in words.number[at[first] + i].tolist()] for i in range(size))
+    return zip(zip(*columns, strict=True), k.tolist(), strict=True)
+
+
 def _frequent_runs(texts: DataFrame, bits: list[SharedBits], min_count: int) -> DataFrame:
     """``hash`` of each run one word longer than those of ``bits`` that a language has ``min_count`` times or more."""
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget_tables()
         for frame in frames:
-            for lang, words, goes_on in by_language(frame):
-                found, k = np.unique(reached(words, goes_on, lang, bits)[1].view(np.int64), return_counts=True)
+            for lang, h, goes_on in hashed_by_language(frame):
+                found, k = np.unique(reached(h, goes_on, lang, bits)[1].view(np.int64), return_counts=True)
                 yield pd.DataFrame({"hash": found, "k": k})
 
     return texts.mapInPandas(runs, "hash long, k long").groupBy("hash").agg(F.sum("k").alias("k")).where(F.col("k") >= min_count).select("hash")
@@ -96,19 +173,20 @@ def _windows(texts: DataFrame, bits: list[SharedBits]) -> DataFrame:
     max_words = len(bits) + 1
     columns = [f"w{i}" for i in range(max_words)]
 
-    def frame_of(lang: str, counts: Counter) -> pd.DataFrame:
-        rows = [(*(w.decode() for w in window), *[""] * (max_words - len(window)), k) for window, k in counts.items()]
+    def frame_of(lang: str, counts: dict[tuple[str, ...], int]) -> pd.DataFrame:
+        rows = [(*window, *[""] * (max_words - len(window)), k) for window, k in counts.items()]
         return pd.DataFrame(rows, columns=[*columns, "k"]).assign(lang=lang)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget_tables()
-        counts: dict[str, Counter] = {}
+        counts: dict[str, dict[tuple[str, ...], int]] = {}
         for frame in frames:
-            for lang, words, goes_on in by_language(frame):
-                begins, own = [*reached(words, goes_on, lang, bits)[0], np.zeros(len(words), bool)], counts.setdefault(lang, Counter())
+            for words in by_language(frame):
+                h = word_hashes(b"\n".join(words.distinct))[0][words.number]
+                begins, own = [*reached(h, words.goes_on, words.lang, bits)[0], np.zeros(len(h), bool)], counts.setdefault(words.lang, {})
                 for size in range(1, max_words + 1):
-                    at = np.flatnonzero(begins[size - 1] & ~begins[size]).tolist()
-                    own.update(zip(*([words[i + j] for i in at] for j in range(size)), strict=True))
+                    for window, k in counted(words, np.flatnonzero(begins[size - 1] & ~begins[size]), size):
+                        own[window] = own.get(window, 0) + k
                 if sum(map(len, counts.values())) > HELD:
                     for key, held in counts.items():
                         yield frame_of(key, held)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from quern.llm import collocations as module
 from quern.llm.collocations import collocations
 
 
@@ -28,6 +29,18 @@ def brute_force(rows, min_count, max_words, percent, first):
     return sorted((lang, rank, p.decode(), -a, le, r, totals[lang], -s) for lang, found in out.items() for rank, (s, a, p, le, r) in enumerate(sorted(found)[:first], 1))
 
 
+def test_words_hash_alike_wherever_they_stand(monkeypatch):
+    monkeypatch.setattr(module, "HASHED", 64)
+    rng = random.Random(5)
+    text = "".join(rng.choice(["ab", "ba", "é", "B", " ", " ", "\t", ".", "\n", "x" * 100]) for _ in range(2000))
+    words = [w for piece in module.pieces(text) for w in piece]
+    h, goes_on = module.word_hashes(module.plain_bytes(text))
+    assert len(h) == len(goes_on) == len(words)
+    assert len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+    assert goes_on.tolist() == [i + 1 < len(p) for p in module.pieces(text) for i in range(len(p))]
+    assert all(len(x) == 0 for data in (b"", b" \n\t ") for x in module.word_hashes(data))
+
+
 @pytest.mark.parametrize(("min_count", "max_words", "first"), [(2, 3, 1000), (3, 4, 7), (1, 2, 50)])
 def test_all_phrases_are_counted_and_ranked(spark, min_count, max_words, first):
     rng = random.Random(min_count)
