@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -90,3 +91,18 @@ def test_asof_join_carries_one_row_whole(spark, stretch):
     assert got == {("a", 20, None), ("b", None, None), ("c", None, None), ("d", None, None), ("e", 60, None)}
     assert asof_join(left, right, "k", "ts", ["id", "v"], stretch=stretch).count() == 6
     assert asof_join(left.limit(0), right, "k", "ts", ["id"]).collect() == [] and asof_join(left, right.limit(0), "k", "ts", ["id"]).count() == 6
+
+
+@pytest.mark.parametrize("stretch", ["hour", "day", "month"])
+def test_asof_join_against_every_earlier_row(spark, stretch):
+    rng = random.Random(3)
+    moment = lambda: START + timedelta(hours=rng.randrange(0, 24 * 40, 5))
+    left = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice([moment(), moment(), moment(), None]), i) for i in range(150)]
+    right = [(rng.choice([1, 1, 2, 4, None]), rng.choice([moment(), moment(), moment(), None]), rng.choice([None, 1, 2, 3])) for i in range(60)]
+    found = asof_join(spark.createDataFrame(left, "k int, ts timestamp, x int"), spark.createDataFrame(right, "k int, ts timestamp, v int"), "k", "ts", ["v"], stretch=stretch)
+
+    def latest(key, time):
+        earlier = [(at, v is not None, v or 0) for k, at, v in right if None not in (key, time, k, at) and k == key and at <= time]
+        return (max(earlier)[2] or None) if earlier else None
+
+    assert sorted((r["x"], r["last_v"] or 0) for r in found.collect()) == sorted((x, latest(k, t) or 0) for k, t, x in left)
