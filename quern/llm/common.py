@@ -56,8 +56,9 @@ class _Settings:
 _SMALL_BATCHES = _Settings(**{"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.columnarReaderBatchSize": "512"})
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, with no lineage, and safe against lost executors.
+    ``codec`` names another compression than the session's.
 
     While it is computed, Spark reads and hands to Python workers a few hundred rows at once: texts are long, and each
     batch is held several times over on either side. Threads that write at once share these settings, and the last one
@@ -66,7 +67,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     with _SMALL_BATCHES.hold(spark.conf):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

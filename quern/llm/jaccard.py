@@ -8,7 +8,8 @@ corpora have it at two shingles, those with many short texts around common phras
 * Linked sets of sizes a >= b share at least 3/7 (a + b) shingles (for 0.75), so a set of size n misses at most n/4 of
   a partner's. If its n/4 + t smallest hashes are listed, at least t of them are in the partner's list entry as well.
 * A set with fewer than t listed hashes in common with any others at all has no partner and is dropped with all its
-  text unread from then on. In corpora of mostly unrelated texts that is nearly every set.
+  text unread from then on. In corpora of mostly unrelated texts that is nearly every set. A bitmap of the hashes that
+  occur twice or more, of bounded size, drops most of them where they are read; what it leaves is joined exactly.
 * The sets that are left need only their rarest ones of these hashes: t - 1 may be given up, the most frequent ones
   first, and two linked sets still meet. So common passages do not tie unrelated texts together.
 
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import forget_tables, joined, remove_written, sized, without, written
+from quern.llm.common import SharedBits, forget_tables, joined, remove_written, shared_bits, sized, without, written
 from quern.llm.components import components
 from quern.llm.shingles import mixed, shingles
 
@@ -48,6 +49,10 @@ SCANNED = 0.02
 PIVOTS = 64
 #: Hashes after which a task hands on the sets it has made.
 HELD_HASHES = 250_000
+#: Bits of a hash that go into the lists. Sets that share a listed hash by chance are compared in vain, which leaves results exact.
+LISTED_BITS = 48
+#: Sets that list a hash, as counted when hashes are ordered by them; more count as so many.
+MOST_COUNTED = (1 << 63 - LISTED_BITS) - 1
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -182,7 +187,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
             for key, mark, text in zip(frame["id"], frame["mark"], frame["text"], strict=True):
                 s = shingles(text)
                 sums = np.array([s.sum(dtype=np.uint64), mixed(s + np.uint64(1)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
-                prefix = s[: prefix_length(len(s), percent)].view(np.int64)
+                prefix = (s[: prefix_length(len(s), percent)] & np.uint64((1 << LISTED_BITS) - 1)).view(np.int64)
                 rows.append((key, mark, len(s), int(sums[0]), int(sums[1]), prefix, s.tobytes() if len(s) <= SMALL_AT_MOST else None))
                 held += len(prefix)
                 if held > HELD_HASHES:
@@ -233,14 +238,36 @@ def _boundary(sets: DataFrame, percent: int) -> int:
     return choose_boundary(histogram, scans, percent)
 
 
+def _survivors(listed: DataFrame, met: SharedBits) -> DataFrame:
+    """``id``, ``t`` and ``hash``: of the sets with at least ``t`` hits in ``met`` a row for each hit. Other sets go without being shuffled."""
+
+    def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_tables()
+        for frame in frames:
+            prefixes = frame["prefix"].tolist()
+            hashes = np.concatenate([*prefixes, np.zeros(0, np.int64)]).astype(np.int64, copy=False)
+            owner = np.repeat(np.arange(len(frame)), [len(p) for p in prefixes])
+            hit = met.hit(hashes.view(np.uint64))
+            need = np.array([slack(n) for n in frame["n"]], np.int64)
+            hit &= (np.bincount(owner[hit], minlength=len(frame)) >= need)[owner]
+            owner = owner[hit]
+            yield pd.DataFrame({"id": frame["id"].to_numpy()[owner], "t": need[owner], "hash": hashes[hit]})
+
+    return listed.select("id", "n", "prefix").mapInPandas(take, "id long, t long, hash long")
+
+
 def _meetings(listed: DataFrame) -> DataFrame:
     """Edges between sets that may be linked: stars within the lists of the rarest hashes of each set that is left."""
-    rows = listed.select("id", F.expr("greatest(1, 12 * n div 100)").alias("t"), F.explode("prefix").alias("hash"))
-    counts = written(rows.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1"))
-    met = joined(rows, counts, counts.count(), "hash")
-    hits = met.groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("hits"))
-    kept = hits.where(F.size("hits") >= F.col("t")).select("id", F.explode(F.slice("hits", F.lit(1), (F.size("hits") - F.col("t") + 1).cast("int"))).alias("h"))
-    kept = written(kept.select("id", F.col("h.hash").alias("hash")))
+    counts = written(listed.select(F.explode("prefix").alias("hash")).groupBy("hash").agg(F.count("*").alias("df")).where("df > 1"))
+    n = counts.count()
+    bits = shared_bits(counts, "hash", n)
+    # Rare hashes first, in one order for all sets: how many sets list it, above the bits of the hash.
+    place = F.shiftleft(F.least("df", F.lit(MOST_COUNTED)), LISTED_BITS).bitwiseOR(F.col("hash"))
+    met = _survivors(listed, bits).join(sized(counts, n), "hash").select("id", "t", place.alias("place"))
+    hits = met.groupBy("id", "t").agg(F.array_sort(F.collect_list("place")).alias("hits"))
+    kept = hits.where(F.size("hits") >= F.col("t")).select("id", F.explode(F.slice("hits", F.lit(1), (F.size("hits") - F.col("t") + 1).cast("int"))).alias("place"))
+    kept = written(kept.select("id", F.col("place").bitwiseAND(F.lit((1 << LISTED_BITS) - 1)).alias("hash")))
+    bits.destroy()
     firsts = kept.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
     edges = written(kept.join(firsts, "hash").where("first <> id").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
     remove_written(counts, kept)
@@ -344,7 +371,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, tile_shin
     if not 75 <= percent <= 100:
         raise ValueError("percent must be from 75 to 100")
     texts = _texts(docs, id_col, text_col)
-    sets = given = written(_sets(texts.withColumn("id", F.col("id").cast("string")), percent))  # pandas would turn nulls into floats
+    sets = given = written(_sets(texts.withColumn("id", F.col("id").cast("string")), percent), "zstd")  # pandas would turn nulls into floats
     own = _own_names(given)
     if own:
         sets, texts = _named(given, *own), _named(texts, *own)
