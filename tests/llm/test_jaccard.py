@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quern.llm import jaccard
+from quern.llm.common import SharedBits, shared_bits
 from quern.llm.jaccard import choose_boundary, jaccard_components, local_forest, n_subsets, overlap, partner_sizes, prefix_length, representatives, slack, subset_keys
 from tests.llm import plain
 
@@ -60,6 +61,28 @@ def test_components_do_not_depend_on_the_boundary(spark, monkeypatch, boundary):
     assert sorted(map(tuple, jaccard_components(docs).collect())) == plain.jaccard_components(rows)
 
 
+@pytest.mark.parametrize("full", [False, True])
+def test_components_are_exact_where_listed_hashes_collide(spark, monkeypatch, full):
+    """Short hashes, counts that are cut off at once and a bitmap that holds everything: more is compared in vain, no link is lost."""
+    monkeypatch.setattr(jaccard, "LISTED_BITS", 10)
+    monkeypatch.setattr(jaccard, "MOST_COUNTED", 3)
+    if full:
+        monkeypatch.setattr(jaccard, "shared_bits", lambda hashes, column, n: SharedBits(hashes.sparkSession, np.full(4096, 255, np.uint8), 1))
+    rows = [*corpus(8), (900, None), (901, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(docs).collect())) == plain.jaccard_components(rows)
+
+
+def test_sets_with_too_few_hits_are_dropped_where_they_are_read(spark):
+    sets = [(1, 20, [5, 6, 7]), (2, 20, [6, 8, 9]), (3, 2, [7]), (4, 3, []), (5, 30, [5, 6, 7, 10])]
+    listed = spark.createDataFrame(sets, "id long, n long, prefix array<long>")
+    bits = shared_bits(spark.createDataFrame([(5,), (6,), (7,)], "hash long"), "hash", 3)
+    want = sorted((key, slack(n), h) for key, n, prefix in sets if sum(h in (5, 6, 7) for h in prefix) >= slack(n) for h in prefix if h in (5, 6, 7))
+    assert sorted(map(tuple, jaccard._survivors(listed, bits).collect())) == want
+    assert {key for key, _, _ in want} == {1, 3, 5}
+    assert jaccard._survivors(listed.where("id > 5"), bits).count() == 0
+
+
 def test_subsets_meet_exactly_for_linked_sets():
     random.seed(4)
     for _ in range(300):
